@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import media, packing
+from quern.llm import media, packing, quality, secrets
 
-MODULES = [media, packing]
+MODULES = [secrets, media, packing, quality]
 
 
 def queries() -> dict:
