@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import media, packing, quality, secrets
+from quern.llm import licenses, media, packing, quality, secrets
 
-MODULES = [secrets, media, packing, quality]
+MODULES = [secrets, media, packing, quality, licenses]
 
 
 def queries() -> dict:
