@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import licenses, media, packing, quality, secrets
+from quern.llm import licenses, media, packing, quality, secrets, urls
 
-MODULES = [secrets, media, packing, quality, licenses]
+MODULES = [secrets, media, urls, packing, quality, licenses]
 
 
 def queries() -> dict:
