@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import html, licenses, media, packing, quality, secrets, urls
+from quern.llm import html, licenses, media, neardup, packing, quality, secrets, urls
 
-MODULES = [html, secrets, media, urls, packing, quality, licenses]
+MODULES = [html, secrets, media, urls, packing, neardup, quality, licenses]
 
 
 def queries() -> dict:
