@@ -16,6 +16,7 @@ columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ PIECES_PER_PARTITION = 40_000
 #: Entries of a tokeniser worker's young and of its old word cache.
 CACHE_WORDS = 400_000
 
+#: What the array path leaves to the tokeniser library: anything but visible Latin characters,
+#: U+0130 (its lower case is two code points), and what may start a special token.
+ODD = re.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]|<\\|")
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -84,14 +89,13 @@ class PairMerger:
         found[wrong] = again
         return found
 
-    def __call__(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of non-empty pre-tokens one after another, and how many each one has."""
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        raw = np.frombuffer(b"".join(tokens), np.uint8)
+    def __call__(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of non-empty pre-tokens, whose bytes are given one after another, and how many
+        each one has."""
         last = np.cumsum(lengths) - 1
         symbols = self.inner[raw]
         symbols[last] = self.final[raw[last]]
-        owner = np.repeat(np.arange(len(tokens)), lengths)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             new = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -108,7 +112,7 @@ class PairMerger:
         owners = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(owners, kind="stable")
         ids = np.concatenate([s for _, s in done])[order] if done else owners
-        return ids.astype("<u4"), np.bincount(owners, minlength=len(tokens))
+        return ids.astype("<u4"), np.bincount(owners, minlength=len(lengths))
 
 
 def _byte_characters() -> list[str]:
@@ -141,7 +145,7 @@ class WordTokeniser:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        self.pattern = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = regex.compile(model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["model"]["merges"]]
         self.merge = PairMerger(model["model"]["vocab"], merges)
         self.cache_words = cache_words
@@ -152,44 +156,45 @@ class WordTokeniser:
         """Make every one of the words known to the young cache."""
         if len(self.young) > self.cache_words:
             self.old, self.young = self.young, {}
-        own, other = [], []
-        for w in words:
-            if w not in self.young:
-                ids = self.old.get(w)
-                if ids is not None:
-                    self.young[w] = ids
-                else:
-                    text = w.decode()
-                    # U+0130 has a lower case of two code points; "<|" may start a special token.
-                    latin = text.isprintable() and max(text) < "\u0250" and "\u0130" not in text and "<|" not in text
-                    (own if latin else other).append((w, text))
+        missing = words.difference(self.young)
+        if self.old:
+            again = [w for w in missing if w in self.old]
+            self.young.update((w, self.old[w]) for w in again)
+            missing.difference_update(again)
+        own = list(missing)
+        if ODD.search(b"\n".join(own).decode()):
+            texts = [w.decode() for w in own]
+            other = [w for w, t in zip(own, texts) if ODD.search(t)]
+            own = [w for w, t in zip(own, texts) if not ODD.search(t)]
+            for i in range(0, len(other), 4096):
+                some = [w.decode() for w in other[i : i + 4096]]
+                for w, e in zip(other[i : i + 4096], self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                    self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
         if own:
             self._merge_words(own)
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            for (w, _), e in zip(some, self.tokenizer.encode_batch([t for _, t in some], add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _merge_words(self, pairs: list[tuple[bytes, str]]) -> None:
-        tokens: list[str] = []
-        counts = []
-        for _, text in pairs:
-            text = text.lower()
-            found = [text] if text.isalpha() else self.pattern.findall(text)
-            tokens += found
-            counts.append(len(found))
-        ids, sizes = self.merge([t.encode() for t in tokens])
-        stops = np.append(0, np.cumsum(sizes))[np.cumsum(counts)] * 4
-        data, at = ids.tobytes(), 0
-        for (w, _), stop in zip(pairs, stops.tolist()):
-            self.young[w] = data[at:stop]
-            at = stop
+
+    def _merge_words(self, words: list[bytes]) -> None:
+        tokens = self.pattern.findall(b"\n".join(words).decode().lower())
+        data = np.frombuffer("\n".join(tokens).encode(), np.uint8)
+        # Between pre-tokens there is one line feed; a pre-token that is one marks the end of a word.
+        breaks = np.flatnonzero(data == 10)
+        feeds = np.array([t == "\n" for t in tokens])
+        inner = np.ones(len(data), bool)
+        inner[breaks] = False
+        stops = np.append(np.cumsum(inner)[breaks], inner.sum())
+        lengths = np.diff(stops, prepend=0)
+        lengths = lengths[lengths > 0]
+        ids, sizes = self.merge(data[inner], lengths)
+        per_word = np.diff(np.append(np.flatnonzero(feeds), len(tokens)), prepend=-1) - 1
+        ends = (np.append(0, np.cumsum(sizes))[np.cumsum(per_word)] * 4).tolist()
+        raw = ids.tobytes()
+        self.young.update(zip(words, (raw[i:j] for i, j in zip([0, *ends], ends))))
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 512):
-            split = [t.split() for t in texts[at : at + 512]]
-            self.learn({w for words in split for w in words})
+        for at in range(0, len(texts), 2048):
+            split = [t.split() for t in texts[at : at + 2048]]
+            self.learn(set().union(*split))
             get = self.young.__getitem__
             for words in split:
                 yield b"".join(map(get, words))
