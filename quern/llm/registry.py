@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.llm import html, licenses, lm, media, neardup, packing, quality, secrets, urls
+from quern.llm import decontam, html, licenses, lm, media, neardup, packing, quality, secrets, urls
 
-MODULES = [html, secrets, media, urls, packing, neardup, lm, quality, licenses]
+MODULES = [html, secrets, media, urls, packing, neardup, lm, decontam, quality, licenses]
 
 
 def queries() -> dict:
