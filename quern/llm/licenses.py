@@ -8,8 +8,8 @@ Method
     m - o + 1 with the block's own first n - o + 1 (prefix filter), has n >= o (length filter),
     and at the first shared word enough words are left on both sides (positional filter). What
     passes is verified by the exact overlap. Words of no template cannot be shared, so blocks are
-    reduced to template words first. Blocks are the lines of a text and its paragraphs, runs of
-    two or more lines without a blank one between them.
+    reduced to template words first. Blocks are the lines of a text and, for long notices, which
+    are set over several lines, every ``WINDOW`` lines in a row.
 
 Defined results: a null text is an empty one; a null id is carried along; every row is judged on
 its own, so repeated rows give repeated results; ties between templates give all their labels; an
@@ -28,6 +28,8 @@ from quern.llm.common import ascii_lower, materialise, read_table, texts_of
 
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
+#: Lines in a window, and the least overlap asked for by the notices that windows are compared with.
+WINDOW, LONG_NOTICE = 4, 11
 
 #: Phrases of the contract: label and words.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
@@ -82,9 +84,7 @@ def _phrase_pattern() -> str:
 
 def _n_words(text: Column) -> Column:
     """Number of words: pieces between gaps, without the empty ones that an end may have."""
-    parts = F.split(text, _GAP)
-    empty = lambda at: (F.element_at(parts, at) == "").cast("long")
-    return F.when(F.size(parts) == 1, 1 - empty(1)).otherwise(F.size(parts) - empty(1) - empty(-1))
+    return F.size(F.array_remove(F.split(text, _GAP), "")).cast("long")
 
 
 def _token_counts(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -94,18 +94,17 @@ def _token_counts(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in counted.collect()}
 
 
-def _base(text: Column) -> dict[str, Column]:
+def _base(text: Column, found: Column, n_words: Column) -> dict[str, Column]:
     """Places of the phrases, by marking them and counting the words between the marks."""
     clean = F.translate(text, "\x01", "\x03")
     parts = F.split(F.regexp_replace(clean, _phrase_pattern(), "\x01$0\x01"), "\x01")
     places = F.filter(parts, lambda p, i: i % 2 == 1)
-    found = text.rlike(_phrase_pattern())
     first_letter = F.map_from_arrays(F.array(*(F.lit(w[0][0]) for w in PHRASES.values())), F.array(*map(F.lit, PHRASES)))
     labels = F.array_sort(F.array_distinct(F.transform(places, lambda p: F.element_at(first_letter, F.lower(F.substring(p, 1, 1))))))
     return {
         "n_base": F.when(found, F.size(places).cast("long")).otherwise(F.lit(0).cast("long")),
-        "first_word": F.when(found, _n_words(F.element_at(parts, 1)).cast("long")),
-        "last_word": F.when(found, (_n_words(text) - _n_words(F.element_at(parts, -1)) - _n_words(F.element_at(places, -1))).cast("long")),
+        "first_word": F.when(found, _n_words(F.element_at(parts, 1))),
+        "last_word": F.when(found, n_words - _n_words(F.element_at(parts, -1)) - _n_words(F.element_at(places, -1))),
         "base": F.when(found, labels).otherwise(F.array().cast("array<string>")),
     }
 
@@ -130,17 +129,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     rare = [by_rank[token] for *_, token in ordered]
     least = min(need for _, _, _, need, _, _ in ordered)
 
-    facts = materialise(texts.select(
-        "doc_id", F.monotonically_increasing_id().alias("row_id"), _n_words(F.col("text")).cast("long").alias("n_words"),
-        *(c.alias(name) for name, c in _base(F.col("text")).items()),
-        F.when(F.col("text").rlike(f"(?<!{_WORD})(?i:{_alternatives(rare)})(?!{_WORD})"), _blocks(F.col("text"), rank, least)).alias("blocks"),
+    # Every text is searched once for phrases and once for the templates' rarest words.
+    text, has_phrase = F.col("text"), F.col("has_phrase")
+    looked = texts.select("doc_id", "text", _n_words(text).alias("n_words"), text.rlike(_phrase_pattern()).alias("has_phrase"),
+                          text.rlike(f"(?<!{_WORD})(?i:{_alternatives(rare)})(?!{_WORD})").alias("has_rare"))
+    facts = materialise(looked.select(
+        "doc_id", F.monotonically_increasing_id().alias("row_id"), "n_words",
+        *(c.alias(name) for name, c in _base(text, has_phrase, F.col("n_words")).items()),
+        F.when(F.col("has_rare"), _blocks(text, rank, least)).alias("blocks"),
     ), "licenses")
 
-    blocks = facts.where(F.size("blocks") > 0).select("row_id", F.posexplode("blocks").alias("block", "words"))
-    tokens = blocks.select("row_id", "block", "words", F.size("words").alias("n"), F.posexplode("words").alias("j", "token"))
+    blocks = facts.where(F.size("blocks") > 0).select("row_id", F.inline("blocks"))
+    tokens = blocks.select("row_id", "words", "floor", F.size("words").alias("n"), F.posexplode("words").alias("j", "token"))
     left = F.least(F.size("tokens") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
     candidates = tokens.join(prefixes, "token").where(
-        (F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")) & (left + 1 >= F.col("need")))
+        (F.col("need") >= F.col("floor")) & (F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")) & (left + 1 >= F.col("need")))
     overlap = F.size(F.array_intersect("words", "tokens"))
     matched = candidates.where(overlap >= F.col("need")).select("row_id", "label", (overlap / F.size("tokens")).alias("held"))
     best = matched.groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("held").alias("held"))
@@ -153,17 +156,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
 
 def _blocks(text: Column, rank: dict[str, int], least: int) -> Column:
-    """Lines and paragraphs, each as the sorted ranks of its template words; those with fewer than
-    ``least`` of them reach no template (length filter)."""
+    """Lines and windows of lines, each as the sorted ranks of its template words and the overlap
+    (``floor``) that a template must ask for to be compared. Blocks with fewer template words than
+    their floor reach no such template (length filter)."""
     lines = F.split(text, "\\r\\n|[\\r\\n]")
-    paragraphs = F.filter(F.split(text, "(?:\\r\\n|[\\r\\n])[ \\t]*(?:\\r\\n|[\\r\\n])"), lambda p: p.rlike("[^\\r\\n][\\r\\n]+[^\\r\\n]"))
+    windows = F.when(F.size(lines) > 1, F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, WINDOW), " "))).otherwise(F.array().cast("array<string>"))
     ranks = F.create_map(*reduce(lambda out, item: [*out, F.lit(item[0]), F.lit(item[1])], rank.items(), []))
 
-    def reduced(block: Column) -> Column:
+    def reduced(block: Column, floor: int) -> Column:
         known = F.transform(F.split(ascii_lower(block), _GAP), lambda w: F.try_element_at(ranks, w))
-        return F.array_sort(F.array_distinct(F.filter(known, lambda r: r.isNotNull())))
+        words = F.array_sort(F.array_distinct(F.filter(known, lambda r: r.isNotNull())))
+        return F.struct(words.alias("words"), F.lit(floor).alias("floor"))
 
-    return F.filter(F.transform(F.concat(lines, paragraphs), reduced), lambda ranks: F.size(ranks) >= least)
+    some = lambda blocks, floor: F.filter(F.transform(blocks, lambda b: reduced(b, floor)), lambda b: F.size(b["words"]) >= b["floor"])
+    return F.concat(some(lines, least), some(windows, LONG_NOTICE))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
