@@ -55,6 +55,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Ids of at most so many rows (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``df`` without the rows whose id is in ``ids``, a table of one column; null equals null."""
+    gone = materialise(ids.toDF("quern_gone").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[f"`{id_col}`"].eqNullSafe(gone["quern_gone"]), "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, read_table, texts_of
+from quern.llm.common import read_table, texts_of, without_ids
 
 Q = 8
 WINDOW, STEP = 100, 50
@@ -238,10 +238,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window."""
-    found = materialise(leaks(docs, benchmark, id_col, text_col).select("doc_id").distinct(), "leaks")
-    gone = found.withColumnRenamed("doc_id", id_col)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+    """``docs`` without the documents that hold a benchmark window; rows without an id go if one of
+    them holds one."""
+    return without_ids(docs, leaks(docs, benchmark, id_col, text_col).select("doc_id"), id_col)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, materialise, read_table, text_bytes, texts_of
+from quern.llm.common import map_batches, materialise, read_table, text_bytes, texts_of, without_ids
 from quern.llm.graph import components
 from quern.llm.shingles import chunks, hash_words, mix, shingles
 
@@ -224,10 +224,11 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` without the rows whose document is not the first of its component; of rows that
-    repeat an id, all stay or go together."""
-    gone = link(df, id_col, text_col, size, percent).where("not kept").select("doc_id").distinct()
-    return df.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*(f"`{c}`" for c in df.columns))
+    """``df`` with one document of each component, the one of the smallest id. Rows that repeat an
+    id stay or go together: they stay if one of them is kept. Rows without an id stay."""
+    linked = link(df, id_col, text_col, size, percent).where("doc_id is not null")
+    gone = linked.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return without_ids(df, gone, id_col)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
