@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,10 +130,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     rare = [by_rank[token] for *_, token in ordered]
     least = min(need for _, _, _, need, _, _ in ordered)
 
-    # Every text is searched once for phrases and once for the templates' rarest words.
-    text, has_phrase = F.col("text"), F.col("has_phrase")
-    looked = texts.select("doc_id", "text", _n_words(text).alias("n_words"), text.rlike(_phrase_pattern()).alias("has_phrase"),
-                          text.rlike(f"(?<!{_WORD})(?i:{_alternatives(rare)})(?!{_WORD})").alias("has_rare"))
+    # Plain searches in the lower-cased text tell which texts need the exact patterns at all.
+    text, low, has_phrase = F.col("text"), F.col("low"), F.col("has_phrase")
+    maybe_phrase = reduce(or_, (reduce(and_, (F.contains(low, F.lit(w)) for w in words)) for words in PHRASES.values()))
+    looked = texts.select("doc_id", "text", F.lower("text").alias("low")).select(
+        "doc_id", "text", _n_words(text).alias("n_words"), (maybe_phrase & text.rlike(_phrase_pattern())).alias("has_phrase"),
+        (low.rlike(_alternatives(rare)) & text.rlike(f"(?<!{_WORD})(?i:{_alternatives(rare)})(?!{_WORD})")).alias("has_rare"))
     facts = materialise(looked.select(
         "doc_id", F.monotonically_increasing_id().alias("row_id"), "n_words",
         *(c.alias(name) for name, c in _base(text, has_phrase, F.col("n_words")).items()),
