@@ -96,12 +96,13 @@ def _spans(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), found).otherwise(F.from_json(F.lit("[]"), _SPANS))
 
 
-def _candidates(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with a row number and its strong spans and weak parts, in the shared folder."""
+def _candidates(df: DataFrame, text: Column, keep: list) -> DataFrame:
+    """The columns to ``keep``, a row number, and each text's strong spans and weak parts, in the
+    shared folder."""
     strong = [k for k in KINDS if k.strong]
     weak = [k for k in KINDS if not k.strong]
     return materialise(df.select(
-        F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_id"),
+        *keep, F.monotonically_increasing_id().alias("row_id"),
         F.array_sort(F.concat(*(_spans(text, k) for k in strong))).alias("strong"),
         F.concat(*(_spans(text, k) for k in weak)).alias("weak")), "secrets")
 
@@ -144,8 +145,7 @@ def _with_links(found: DataFrame, scope: int) -> DataFrame:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """doc_id, counts of strong spans, the digest of the strong spans, and all spans."""
-    texts = texts_of(df, id_col, text_col)
-    found = _candidates(texts, F.col("text")).select(F.col("row.doc_id").alias("doc_id"), "row_id", "strong", "weak")
+    found = _candidates(texts_of(df, id_col, text_col), F.col("text"), ["doc_id"])
     count = lambda name: F.size(F.filter("strong", lambda s: s["rank"] == RANK[name])).cast("long").alias(f"n_{name}")
     return _with_links(found, scope).select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.col("strong")), 256).alias("base_sha256"),
@@ -155,7 +155,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
 def redact(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``df`` with every reported span of its text replaced by [kind]; null texts stay null."""
     text = F.col(f"`{text_col}`")
-    found = _candidates(df, F.coalesce(text, F.lit("")))
+    found = _candidates(df, F.coalesce(text, F.lit("")), [F.struct("*").alias("row")])
     own = F.col(f"row.`{text_col}`")
     name = F.create_map(*(F.lit(x) for k in KINDS for x in (RANK[k.name], k.name)))
 
