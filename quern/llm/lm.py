@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,34 +38,38 @@ BLOCK_BYTES = 8 << 20
 #: The end token's word.
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 
+#: Words of a range of word hashes that are summed at once; bounds that task's memory.
+RANGE_WORDS = 250_000
+
 _CHUNKS = 64  # in which bucket counts are summed
-_BLOCK_FIELDS = [("docs", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.binary())]
-_WORD_FIELDS = [("idx", pa.int32()), ("word", pa.int64()), ("train", pa.int64())]
-_ENCODED = pa.schema([("block", pa.int64()), *_BLOCK_FIELDS, *_WORD_FIELDS])
+_BLOCKS = "block long, docs array<long>, held array<boolean>, lengths array<long>, codes binary, buckets binary, words binary, train binary, n_words long"
+
+
+def _press(array: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(array.tobytes())
+
+
+def _read(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 def _encode(texts: DataFrame) -> DataFrame:
-    """Blocks (docs, held, lengths, codes, words) and, as further rows, their words' training counts."""
+    """Blocks of whole documents: ids, fold, token counts, and the tokens as places in the block's
+    sorted words; of those words the buckets, hashes and training counts."""
 
-    def block_of(number: int, docs: pa.Array, held: pa.Array, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def block_of(number: int, docs: pa.Array, held: pa.Array, raw: list[bytes]) -> pa.RecordBatch:
         hashes, lengths = [], []
         for a, b in chunks(raw):
             words, counts = hash_words(raw[a:b])
             hashes.append(np.insert(words, np.cumsum(counts), np.uint64(END % (1 << 64))))
             lengths.append(counts + 1)
         length = np.concatenate(lengths)
-        words, codes, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")  # small codes for frequent words
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        codes, words = place[codes], words[order].view(np.int64)
-        train = np.bincount(codes, np.repeat(~held.to_numpy(zero_copy_only=False), length), len(words)).astype(np.int64)
-        yield _rows(1, {"block": [number], "docs": [docs.to_pylist()], "held": [held.to_pylist()], "lengths": [length.tolist()],
-                        "codes": [codes.tobytes()], "words": [words.tobytes()]})
-        for a in range(0, len(words), 50_000):
-            part = slice(a, a + 50_000)
-            n = len(words[part])
-            yield _rows(n, {"block": np.full(n, number), "idx": np.arange(a, a + n, dtype=np.int32), "word": words[part], "train": train[part]})
+        words, codes = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True)
+        train = np.bincount(codes, np.repeat(~held.to_numpy(zero_copy_only=False), length), len(words))
+        values = [number, docs.to_pylist(), held.to_pylist(), length.tolist(), _press(codes.astype("<u4")),
+                  _press(_bucket(words).astype("<u2")), words.tobytes(), _press(train.astype("<i8")), len(words)]
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,17 +80,67 @@ def _encode(texts: DataFrame) -> DataFrame:
             at = size = 0
             for i in range(len(raw) + 1):
                 if i > at and (i == len(raw) or size + len(raw[i]) > BLOCK_BYTES):
-                    yield from block_of(number, batch.column(0).slice(at, i - at), batch.column(1).slice(at, i - at), raw[at:i])
+                    yield block_of(number, batch.column(0).slice(at, i - at), batch.column(1).slice(at, i - at), raw[at:i])
                     number, at, size = number + 1, i, 0
                 if i < len(raw):
                     size += len(raw[i])
 
-    kinds = "block long, docs array<long>, held array<boolean>, lengths array<long>, codes binary, words binary, idx int, word long, train long"
-    return texts.mapInArrow(run, kinds)
+    return texts.mapInArrow(run, _BLOCKS)
 
 
-def _rows(n: int, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ENCODED], schema=_ENCODED)
+def _corpus_counts(blocks: DataFrame) -> DataFrame:
+    """Two kinds of rows: (block, part, totals), the corpus training counts of the block's words of
+    one range of hashes; and (bucket, tokens, types), a range's sums for a bucket."""
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    ranges = -(-total // RANGE_WORDS) or 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([-(1 << 63) + (i << 64) // ranges for i in range(1, ranges)], np.int64)
+        for batch in batches:
+            for block, words, train in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, counts = np.frombuffer(words, np.int64), _read(train, "<i8")
+                cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+                some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _, _ in some], pa.int64()), pa.array([block] * len(some), pa.int64()),
+                     pa.array([hashes[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([_press(counts[a:b]) for _, a, b in some], pa.binary())],
+                    names=["part", "block", "words", "train"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != part and held:
+                    yield from summed(part, held)
+                    held = []
+                part = number
+                held.append(row)
+        if held:
+            yield from summed(part, held)
+
+    def summed(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        hashes = [np.frombuffer(words, np.int64) for _, words, _ in held]
+        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([_read(train, "<i8") for *_, train in held]), len(words)).astype("<i8")
+        ends = np.cumsum([len(h) for h in hashes])
+        packed = [_press(totals[place[e - len(h) : e]]) for h, e in zip(hashes, ends)]
+        yield rows(len(held), {0: [block for block, _, _ in held], 1: [part] * len(held), 2: packed})
+        known = (totals > 0) & (words != END)
+        bucket = _bucket(words[known])
+        types = np.bincount(bucket, minlength=BUCKETS)
+        some = np.flatnonzero(types)
+        yield rows(len(some), {3: some, 4: np.bincount(bucket, totals[known], BUCKETS)[some].astype(np.int64), 5: types[some]})
+        if (totals[words == END] > 0).any():
+            yield rows(1, {3: [-1], 4: totals[words == END], 5: [1]})
+
+    def rows(n: int, columns: dict) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(columns[i], t) if i in columns else pa.nulls(n, t) for i, t in enumerate(types)],
+                                          names=["block", "part", "totals", "bucket", "tokens", "types"])
+
+    dealt = blocks.select("block", "words", "train").mapInArrow(deal, "part long, block long, words binary, train binary")
+    dealt = dealt.repartition(min(ranges, 10_000), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(add, "block long, part long, totals binary, bucket long, tokens long, types long")
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -94,12 +149,10 @@ def _bucket(words: np.ndarray) -> np.ndarray:
 
 def _tokens(row: dict, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes, buckets of the words, the tokens' classes and, for each token, the class before."""
-    codes = np.frombuffer(row["codes"], np.uint32)
-    words = np.frombuffer(row["words"], np.int64)
-    bucket = _bucket(words)
-    of_word = classes[bucket].astype(np.int64)
-    of_word[words == END] = CLASSES
-    kind = of_word[codes]
+    codes = _read(row["codes"], "<u4")
+    bucket = _read(row["buckets"], "<u2").astype(np.int64)
+    kind = classes[bucket][codes]
+    kind[np.cumsum(row["lengths"]) - 1] = CLASSES
     before = np.empty_like(kind)
     before[0], before[1:] = CLASSES, kind[:-1]  # every text ends with the end token, whose class opens the next
     return codes, bucket, kind, before
@@ -136,7 +189,7 @@ def _count_pass(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
     def chunk_rows(numbers: list[int], counts: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
 
-    partial = blocks.select("held", "lengths", "codes", "words").mapInArrow(count, "chunk int, counts binary")
+    partial = blocks.select("held", "lengths", "codes", "buckets").mapInArrow(count, "chunk int, counts binary")
     summed = partial.repartition(_CHUNKS // 4, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros((2, _CHUNKS, per_chunk, width), np.int64)
     for row in summed.toLocalIterator():  # 2 * BUCKETS * (CLASSES + 1) numbers in all
@@ -190,31 +243,6 @@ def cluster(blocks: DataFrame, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return classes, class_bigrams(_count_pass(blocks, classes), classes)
 
 
-def _packed_counts(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """(block, counts): the corpus counts of a block's words in the order of its codes."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            numbers, values = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            cuts = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(numbers))):
-                if numbers[a] != block:
-                    if held:
-                        yield _packed(block, held)
-                    block, held = numbers[a], []
-                held.append(values[a:b])
-        if held:
-            yield _packed(block, held)
-
-    known = words.join(counts, "word").select("block", "idx", "total")
-    return known.repartition("block").sortWithinPartitions("block", "idx").mapInArrow(pack, "block long, counts binary")
-
-
-def _packed(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(held).astype("<i8").tobytes()], pa.binary())], names=["block", "counts"])
-
-
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
@@ -222,16 +250,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     """A row for every document, learned from those whose crc32 of the id is not ``held_fold``."""
     texts = texts_of(df, id_col, text_col)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
-    encoded = materialise(_encode(texts.select("doc_id", held.alias("held"), "text")), "coded")
-    blocks = encoded.where("codes is not null").select("block", *(n for n, _ in _BLOCK_FIELDS))
-    words = encoded.where("word is not null").select("block", *(n for n, _ in _WORD_FIELDS))
-    counts = materialise(words.groupBy("word").agg(F.sum("train").alias("total")), "counts")
-    # One row for each bucket: their tokens and words.
-    sums = (counts.where(F.col("word") != END).groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
-            .agg(F.sum("total").alias("tokens"), F.sum((F.col("total") > 0).cast("long")).alias("types")).toPandas())
-    end = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    train_tokens = int(sums["tokens"].sum() + end)
-    vocabulary = int(sums["types"].sum() + (end > 0))
+    blocks = materialise(_encode(texts.select("doc_id", held.alias("held"), "text")), "coded")
+    counted = materialise(_corpus_counts(blocks), "counts")
+    # One row for each bucket, and one for the end token: their tokens and words.
+    sums = counted.where("bucket is not null").groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toPandas()
+    train_tokens, vocabulary = int(sums["tokens"].sum()), int(sums["types"].sum())
+    sums = sums[sums["bucket"] >= 0]
 
     where = sums["bucket"].to_numpy(np.int64)
     classes, bigrams = cluster(blocks, np.bincount(where, sums["tokens"].to_numpy(float), BUCKETS))
@@ -246,12 +270,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     def scored(row: dict) -> pa.RecordBatch:
         codes, bucket, kind, before = _tokens(row, classes)
-        count = np.frombuffer(row["counts"], "<i8")
+        count = np.concatenate([_read(part["totals"], "<i8") for part in row["counts"]])
         lengths = np.array(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
         plain = (count + 1) / (train_tokens + vocabulary + 1)
         inside = (count + EMISSION) / below[classes[bucket]]
-        inside[np.frombuffer(row["words"], np.int64) == END] = 1.0
+        inside[codes[lengths[0] - 1]] = 1.0  # the end token
         base = np.add.reduceat(np.log10(plain)[codes], starts)
         mixed = MIXTURE * moves[before, kind] * inside[codes] + (1 - MIXTURE) * plain[codes]
         full = np.add.reduceat(np.log10(mixed), starts)
@@ -261,7 +285,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
              pa.array(np.full(len(lengths), train_tokens)), pa.array(base), pa.array(full), pa.array(10 ** np.minimum(-full / lengths, 300.0))],
             names=[c.split()[0] for c in SCORES.split(", ")])
 
-    joined = blocks.join(_packed_counts(words, counts), "block").select("docs", "held", "lengths", "codes", "words", "counts")
+    parts = counted.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("counts"))
+    joined = blocks.select("block", "docs", "held", "lengths", "codes", "buckets").join(parts, "block").drop("block")
     return joined.mapInArrow(run, SCORES)
 
 
