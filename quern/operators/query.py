@@ -79,25 +79,31 @@ class View:
 
     def _ids(self, query: Any, ctx: Context) -> tuple[DataFrame, list[str]]:
         """Distinct ids (``eid``) for the query, and the namespaces that it speaks of."""
-        entities, ids = self._queries(query, ctx)
+        return self._found(*self._queries(query, ctx), ctx)
+
+    def _found(self, entities: list[Entity], ids: list[int], ctx: Context) -> tuple[DataFrame, list[str]]:
         compiler = Compiler(self.source)
         frames = [compiler.ids(e) for e in entities] + ([self._known(ids)] if ids else [])
         spaces = list(dict.fromkeys(ns for e in entities for ns in e.namespaces()))
         out = reduce(DataFrame.union, frames)
         return (out.distinct() if len(frames) > 1 else out), (ctx.schema.namespaces if ids else spaces)
 
-    def _shaped(self, ids: DataFrame, spaces: list[str], ctx: Context, keys: dict[str, Any], model: dict | None) -> DataFrame:
-        if keys.get("first"):
-            ids = ids.orderBy("eid").limit(1)  # before the joins of the projection
+    def _shaped(self, ids: DataFrame, spaces: list[str], ctx: Context, keys: dict[str, Any], model: dict | None, root: Entity | None = None) -> DataFrame:
+        """``root``: the only query, if there is one; its scan can then serve the projection, too."""
+        first = lambda df: df.orderBy("eid").limit(1) if keys.get("first") else df  # noqa: E731  before the joins of the projection
         what = keys.get("returns", "data")
         if what == "ids":
-            return ids
+            return first(ids)
         if what not in ("data", "entities"):
             raise DocumentError("wrong-input", f"returns {what!r}: data, ids or entities")
         blank, with_ids = bool(ctx.options.get("blank")), bool(ctx.options.get("ids"))
         if what == "entities" or model is None:
             model = {} if blank and what == "data" else complete(dict.fromkeys(spaces, "checked"), ctx.schema)
-        documents = Puller(self._as_seen(ctx.schema), with_ids).documents(ids, model)
+        puller = Puller(self._as_seen(ctx.schema), with_ids)
+        carrying = spaces[0] if root is not None and len(spaces) == 1 and spaces[0] in model else None
+        if carrying:
+            ids = Compiler(self.source).ids(root, puller.carried(carrying, model[carrying]))
+        documents = puller.documents(first(ids), model, carrying)
         if what == "entities":
             return documents
         columns = [c for c in documents.columns if c != "eid"]
@@ -118,8 +124,9 @@ class View:
         if keys.get("raw"):
             return [datalog(e, ctx.schema) for e in self._queries(query, ctx)[0]]
         view = self._at(keys)
-        ids, spaces = view._ids(query, ctx)
-        return view._shaped(ids, spaces, ctx, keys, model)
+        entities, known = view._queries(query, ctx)
+        ids, spaces = view._found(entities, known, ctx)
+        return view._shaped(ids, spaces, ctx, keys, model, entities[0] if len(entities) == 1 and not known else None)
 
     def query(self, patterns: list, inputs: list | None = None, **given: Any) -> DataFrame:
         """Raw find-where patterns; the first find variable is the entity."""

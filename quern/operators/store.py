@@ -225,7 +225,7 @@ class Store(View):
             column = F.col(name) if name in frame.columns else F.lit(None).cast(f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type])
             if a.default is not None and not callable(a.default):
                 column = F.coalesce(column, F.lit(a.default))
-            columns[name] = F.transform(column, lambda v, a=a: v.cast(SPARK_TYPES[a.type])) if a.many else column.cast(SPARK_TYPES[a.type])
+            columns[name] = column.cast(f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type])
         rows = frame.select(*(c.alias(n) for n, c in columns.items())).checkpoint()
         missing = [n for n, a in own.items() if a.required and rows.where(F.col(n).isNull()).limit(1).count()]
         if missing:

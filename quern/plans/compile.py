@@ -47,16 +47,17 @@ class Compiler:
         self.source, self.schema = source, source.schema
         self.names = itertools.count()
 
-    def ids(self, root: Entity) -> DataFrame:
-        """The distinct ids (``eid``) of the entities that fit the query."""
-        frame = self.frame(root)
+    def ids(self, root: Entity, carry: list[Attribute] | None = None) -> DataFrame:
+        """The distinct ids (``eid``) of the entities that fit the query. With ``carry``, attributes of
+        the root's only namespace, their columns come along, so that no second scan is needed."""
+        frame = self.frame(root, carry or [])
         if frame.waiting:
             raise DocumentError("wrong-input", f"unbound variables {sorted(set().union(*(w[0] for w in frame.waiting)))}")
-        return frame.df.select("eid").distinct() if frame.bound or not self.unique else frame.df.select("eid")
+        columns = ["eid", *(f"`{a.ident}`" for a in carry or [])]
+        return frame.df.select(*columns).dropDuplicates(["eid"]) if frame.bound else frame.df.select(*columns)
 
-    def frame(self, entity: Entity) -> Frame:
-        """Rows for an entity. Nothing but ids and bound variables is kept."""
-        self.unique = True
+    def frame(self, entity: Entity, carry: list[Attribute] | None = None) -> Frame:
+        """Rows for an entity. Nothing but ids, bound variables and what is carried is kept."""
         attributes = {ident: self.schema.flat[ident] for ident in entity.values}
         if not attributes:
             if entity.id is None:
@@ -65,7 +66,7 @@ class Compiler:
         frame: Frame | None = None
         for ns in dict.fromkeys(a.ns for a in attributes.values()):
             own = {i: entity.values[i] for i, a in attributes.items() if a.ns == ns}
-            part = self.namespace(ns, own)
+            part = self.namespace(ns, own, carry or [])
             frame = part if frame is None else self.merge(frame, part, "eid")
         if isinstance(entity.id, int):
             frame.df = frame.df.where(F.col("eid") == entity.id)
@@ -75,14 +76,15 @@ class Compiler:
             raise DocumentError("wrong-input", "a temporary id in a query", id=entity.id)
         return frame
 
-    def namespace(self, ns: str, own: dict[str, list]) -> Frame:
-        single = [self.schema.flat[i] for i in own if not self.schema.flat[i].many]
+    def namespace(self, ns: str, own: dict[str, list], carry: list[Attribute]) -> Frame:
+        single = list({a.ident: a for a in [*(self.schema.flat[i] for i in own if not self.schema.flat[i].many), *carry]}.values())
         frame = Frame(self.source.wide(ns, single))
         # Scalars first, so that their filters reach the scan; then references.
         for a in sorted((self.schema.flat[i] for i in own), key=lambda a: a.type == "ref"):
             for value in own[a.ident]:
                 frame = self.link(frame, a, value) if a.type == "ref" else self.scalar(frame, a, value)
-        return Frame(frame.df.select("eid", *frame.bound.values(), *{c for _, c, _ in frame.waiting}), frame.bound, frame.waiting)
+        columns = [*frame.bound.values(), *dict.fromkeys(c for _, c, _ in frame.waiting), *(f"`{a.ident}`" for a in carry)]
+        return Frame(frame.df.select("eid", *columns), frame.bound, frame.waiting)
 
     def scalar(self, frame: Frame, a: Attribute, value: object) -> Frame:
         if not a.many:

@@ -62,17 +62,41 @@ class Puller:
     def __init__(self, source: Source, with_ids: bool = False, yield_depth: int = YIELD_DEPTH):
         self.source, self.schema, self.with_ids, self.yield_depth = source, source.schema, with_ids, yield_depth
 
-    def documents(self, ids: DataFrame, model: dict) -> DataFrame:
-        """``eid`` and a struct for each namespace of the model, for the ids."""
+    def carried(self, ns: str, branch: dict) -> list[Attribute]:
+        """The single-valued stored attributes that the model takes from the namespace's own rows."""
+        out: list[Attribute] = []
+
+        def walk(node: dict, path: str) -> None:
+            for key, rule in node.items():
+                a = self.schema.flat.get(f"{path}/{key}")
+                if key == "+" or rule == "unchecked":
+                    continue
+                if a is None:
+                    walk(rule, f"{path}/{key}")
+                elif not a.many and not (a.link and (a.link.reverse or a.link.mutual)):
+                    out.append(a)
+
+        walk(branch, ns)
+        return out
+
+    def documents(self, ids: DataFrame, model: dict, carrying: str | None = None) -> DataFrame:
+        """``eid`` and a struct for each namespace of the model, for the ids. If the ids carry the
+        columns of a namespace, its struct is made from them."""
         out = ids.select("eid")
+        if carrying in model:
+            inner = self.namespace(carrying, model[carrying], model, 0, base=ids)
+            out = inner.withColumnRenamed("doc", carrying) if inner is not None else out
         for ns, branch in model.items():
+            if ns == carrying:
+                continue
             inner = self.namespace(ns, branch, model, 0)
             if inner is not None:
                 out = out.join(inner.select(F.col("eid").alias("_e"), F.col("doc").alias(ns)), F.col("eid") == F.col("_e"), "left").drop("_e")
         return out
 
-    def namespace(self, ns: str, branch: dict, top: dict, depth: int, path: str = "") -> DataFrame | None:
-        """(eid, doc) for every entity of the namespace, or None if the model keeps nothing of it."""
+    def namespace(self, ns: str, branch: dict, top: dict, depth: int, path: str = "", base: DataFrame | None = None) -> DataFrame | None:
+        """(eid, doc) for every entity of the namespace - or those of ``base``, which has the columns
+        it needs - or None if the model keeps nothing of it."""
         fields: list[tuple[str, Any]] = []  # name, and its attribute and rule, or an inner branch
         for key, rule in branch.items():
             if rule == "unchecked" or key == "+":
@@ -82,12 +106,12 @@ class Puller:
             fields.append((key, (a, rule)))
         single = [a for _, (a, rule) in fields if a is not None and not a.many and not a.link]
         stored_refs = [a for _, (a, rule) in fields if a is not None and a.link and not a.link.reverse and not a.many]
-        df = self.source.wide(ns, single + stored_refs)
+        df = self.source.wide(ns, single + stored_refs) if base is None else base
         columns: list[Column] = []
         for i, (key, (a, rule)) in enumerate(fields):
             name = f"_f{i}"
             if a is None:
-                inner = self.namespace(ns, rule, top, depth, "/".join(x for x in (path, key) if x))
+                inner = self.namespace(ns, rule, top, depth, "/".join(x for x in (path, key) if x), base)
                 if inner is None:
                     continue
                 df = self.joined(df, inner, F.col("eid"), name)
