@@ -73,8 +73,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's own bound of 64 MB, several times
+#: over in a worker, is too much for executors of little memory.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(df: DataFrame) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(key, "64m")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names of our own, null texts as empty."""
+    _bound_batches(df)
     return df.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
@@ -84,8 +98,9 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """Apply a function of one Arrow batch. Batches are bounded in bytes by Spark itself
-    (``spark.sql.execution.arrow.maxBytesPerBatch``) and in rows."""
+    """Apply a function of one Arrow batch. Batches are bounded in bytes and in rows; memory that
+    Arrow keeps for later batches is given back at the end of a task."""
+    _bound_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,6 +110,8 @@ def map_batches(
                     yield out
                 else:
                     yield from out
+                del batch, out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

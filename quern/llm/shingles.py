@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 #: Bytes of text that are handled at once; bounds the memory of one step.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
