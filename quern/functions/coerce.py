@@ -81,6 +81,8 @@ def coerce(value: Any, kind: str, chart: dict | None = None) -> Any:
     """``value`` as the given type. Raises a DocumentError tagged ``coerce`` if there is no way.
 
     ``chart`` adds to or overrides the default functions for one call."""
+    if kind in ("keyword", "enum") and isinstance(value, str):
+        return value.removeprefix(":")
     if has_type(value, kind):
         return str(value) if kind == "uuid" else value
     function = ((chart or {}).get(kind, {})).get(kind_of(value)) or CHART.get(kind, {}).get(kind_of(value))
