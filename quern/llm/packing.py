@@ -5,9 +5,9 @@ Method
     2. Pieces are dealt to partitions of a bounded number of pieces. Each partition runs
        best-fit decreasing and computes the best of a family of dual-feasible-function lower
        bounds on its bin count. A partition whose bin count equals its bound is certified.
-    3. Bins that are (nearly) full stay. The pieces of all other bins - gaps - go into a pool that
-       is dealt anew to fewer partitions, so that partitions with gaps exchange documents, and
-       best-fit decreasing runs again. The number of rounds follows the number of partitions.
+    3. Bins that are nearly full stay, the more so in a certified partition. The pieces of all other
+       bins go into a pool that is dealt anew to fewer partitions, so that partitions with gaps
+       exchange documents, and best-fit decreasing runs again, until one partition holds the pool.
 
 Defined results: a null text is an empty one (a single piece: the end id alone); a null id is
 carried along; repeated rows are packed as often as they occur; an empty table gives no rows;
@@ -33,8 +33,11 @@ END_ID = 0
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Pieces that one packing task holds; bounds its memory.
 PIECES_PER_PARTITION = 40_000
+#: A bin keeps its pieces for another round if more than capacity // CERTIFIED_GAP of it is free. In
+#: a partition that is not certified, more than capacity // OPEN_GAP is enough.
+CERTIFIED_GAP, OPEN_GAP = 64, 512
 #: Entries of a tokeniser worker's young and of its old word cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 #: What the array path leaves to the tokeniser library: anything but visible Latin characters,
 #: U+0130 (its lower case is two code points), and what may start a special token.
@@ -311,7 +314,7 @@ def _pack_round(pieces: DataFrame, partitions: int, capacity: int, level: int, l
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         certified = len(free) == bound
-        gap = free > 0
+        gap = free > capacity // (CERTIFIED_GAP if certified else OPEN_GAP)
         done = np.ones(len(free), bool) if last else ~gap
         number = (np.int64(level) << 56) + (np.int64(TaskContext.get().partitionId()) << 28)
         out = table.append_column("sequence_id", pa.array(number + bins)).append_column("offset", pa.array(offsets))
