@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, read_table
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 800
+#: Marks main text in the pages that are made for training.
+MARK = "\u2063"
 SEED = 7
 
 _TOKEN = re.compile(
@@ -69,6 +71,8 @@ for _group, _words in _WORDS.items():
     for _word in _words.split():
         _GROUPS.setdefault(_word, []).append(_group)
 
+_TELLING = {f"in:{t}" for t in ("nav", "header", "footer", "aside", "article", "main", "form", "dialog", "menu", "section")}
+
 _CUES = re.compile(r"(?i)©|copyright|all rights reserved|cookie|subscribe|newsletter|sign (?:up|in)|log in|advert|sponsor|privacy|terms of")
 
 
@@ -95,6 +99,14 @@ def _own_features(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+@lru_cache(maxsize=50_000)
+def _within(outer: frozenset[str], own: frozenset[str]) -> frozenset[str]:
+    """Features inside an element: its own and all around it, and which of them come from the
+    innermost element that says something about its role."""
+    telling = {f"inner:{f}" for f in own if f in _TELLING or f.startswith("cls:")}
+    return own | (frozenset(f for f in outer if not f.startswith("inner:")) | telling if telling else outer)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
@@ -159,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[i:]
                         break
                 if tag not in _VOID and len(stack) < 512:
-                    stack.append((tag, stack[-1][1] | _own_features(tag, attributes)))
+                    stack.append((tag, _within(stack[-1][1], _own_features(tag, attributes))))
     close_block()
     return out
 
@@ -287,13 +299,14 @@ class PageMaker:
         text = " ".join(made)
         return text[:1].upper() + text[1:] + stop
 
-    def page(self) -> tuple[str, set[str]]:
-        """Html, and the texts of its main blocks."""
-        r, main = self.pick, []
+    def page(self) -> str:
+        """Html in which MARK stands before the text of every main block."""
+        r = self.pick
 
         def keep(text: str) -> str:
-            main.append(" ".join(html.unescape(text).split()))
-            return text
+            if r.random() < 0.08:
+                text += r.choice((" All rights reserved.", " Copyright matters.", " Subscribe to the cookie newsletter.", " Log in | sign up.", " Privacy."))
+            return MARK + text
 
         def box(tags: str, names: str, inner: str) -> str:
             tag = r.choice(tags.split())
@@ -355,9 +368,9 @@ class PageMaker:
                 return "<table>" + "".join("<tr>" + "".join(f"<td>{keep(self.words(1, 3, ''))}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 3))) + "</table>"
             if kind < 0.90:
                 return f"<pre>{keep(self.words(2, 20, ''))}</pre>"
-            if kind < 0.93:
+            if kind < 0.92:
                 return f"<figure><img src=x><figcaption>{keep(self.words(2, 12))}</figcaption></figure>"
-            if kind < 0.97:
+            if kind < 0.945:
                 return f"<div>{keep(self.words(2, 60))}</div>"
             return r.choice((advert, side, notice, fields))()
 
@@ -365,7 +378,7 @@ class PageMaker:
         heading = r.random()
         inner = f"<h1>{keep(title)}</h1>" if heading < 0.6 else f"<header><h1>{keep(title)}</h1></header>" if heading < 0.7 else ""
         inner += "".join(part() for _ in range(r.randint(1, 14)))
-        if r.random() < 0.15:
+        if r.random() < 0.25:
             inner += r.choice((foot, comments, menu))()
         article = box("article article main div div section", "content post article-body entry-content story main-content", inner)
         if article.startswith("<section>"):
@@ -377,18 +390,23 @@ class PageMaker:
         r.shuffle(above)
         body = "".join(above) + (f"<main>{article}</main>" if r.random() < 0.2 and not article.startswith("<main") else article) + "".join(below)
         page = f"<!DOCTYPE html><html><head><title>{title}</title><script>var t='</p>';</script></head><body>{body}</body></html>"
-        return (page[: r.randrange(len(page) // 2, len(page))] if r.random() < 0.1 else page), set(main)
+        return page[: r.randrange(len(page) // 2, len(page))] if r.random() < 0.1 else page
+
+
+def labelled(page: str) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page of PageMaker, and which of them are main text."""
+    blocks = blocks_of(page)
+    labels = [MARK in b.text for b in blocks]
+    for b in blocks:
+        b.text = b.text.replace(MARK, "")
+    kept = [(b, main) for b, main in zip(blocks, labels) if b.text]
+    return [b for b, _ in kept], [main for _, main in kept]
 
 
 @lru_cache(maxsize=4)
 def trained_chain(pages: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
-    maker, labelled = PageMaker(seed), []
-    for _ in range(pages):
-        page, main = maker.page()
-        blocks = blocks_of(page)
-        cut = {b.text for b in blocks[-1:] if any(m.startswith(b.text) for m in main)}  # a page's cut end
-        labelled.append((blocks, [b.text in main or b.text in cut for b in blocks]))
-    return train(labelled)
+    maker = PageMaker(seed)
+    return train([labelled(maker.page()) for _ in range(pages)])
 
 
 def main_text(page: str, chain: Chain) -> str:
