@@ -1,4 +1,7 @@
-"""A graph of classes, teachers and students: multi-hop queries, raw patterns, options, stages."""
+"""A graph of classes, teachers and students: multi-hop queries, raw patterns, options, stages.
+
+Fixed values: schema, data and results are those that a user of the document language knows.
+"""
 
 import pytest
 

@@ -1,4 +1,7 @@
-"""The stores of the walkthrough: accounts, accounts with books, a bookstore network."""
+"""The stores of the walkthrough: accounts, accounts with books, a bookstore network.
+
+Fixed values: schemas, documents and results are those that a user of the document language knows.
+"""
 
 from datetime import datetime
 
@@ -64,46 +67,46 @@ def test_accounts(spark, tmp_path, same):
 
 def test_types_and_expressions(spark, tmp_path, same):
     ds = Store.open(spark, str(tmp_path), TYPED)
-    ds.insert({"account": {"user": "adi1", "password": "hello1"}, "account/type": "paid"})
-    ds.insert([{"account": {"password": "hello2", "type": "account.type/admin"}, "account/user": "adi2"}, {"account": {"user": "adi3", "credits": 1000}, "account/password": "hello3"}])
-    two = {"account": {"user": "adi2", "password": "hello2", "credits": 0, "type": "admin"}}
+    ds.insert({"account": {"user": "user1", "password": "hello1"}, "account/type": "paid"})
+    ds.insert([{"account": {"password": "hello2", "type": "account.type/admin"}, "account/user": "user2"}, {"account": {"user": "user3", "credits": 1000}, "account/password": "hello3"}])
+    two = {"account": {"user": "user2", "password": "hello2", "credits": 0, "type": "admin"}}
     same(ds.documents({"account/type": "admin"}), [two])
-    ds.update({"account/user": "adi1"}, {"account/type": "admin"})
-    same(ds.documents({"account/type": "admin"}), [two, {"account": {"user": "adi1", "password": "hello1", "credits": 0, "type": "admin"}}])
+    ds.update({"account/user": "user1"}, {"account/type": "admin"})
+    same(ds.documents({"account/type": "admin"}), [two, {"account": {"user": "user1", "password": "hello1", "credits": 0, "type": "admin"}}])
     with pytest.raises(DocumentError):
-        ds.insert({"account": {"user": "adi4", "password": "hello4", "type": "vip"}})
-    three = {"account": {"user": "adi3", "password": "hello3", "credits": 1000, "type": "free"}}
+        ds.insert({"account": {"user": "user4", "password": "hello4", "type": "vip"}})
+    three = {"account": {"user": "user3", "password": "hello3", "credits": 1000, "type": "free"}}
     for query in (1000, (">", 10), (">", "?", 10), ("<", 10, "?"), [["(> ? 10)"]]):
         same(ds.documents({"account/credits": query}, first=True), three)
-    same(ds.documents({"account/type": "free"}, first=True, pull={"account": {"credits": "unchecked", "type": "unchecked"}}), {"account": {"user": "adi3", "password": "hello3"}})
-    for query in ((".contains", "2"), (".contains", "?", "2"), (".contains", "adi222", "?")):
+    same(ds.documents({"account/type": "free"}, first=True, pull={"account": {"credits": "unchecked", "type": "unchecked"}}), {"account": {"user": "user3", "password": "hello3"}})
+    for query in ((".contains", "2"), (".contains", "?", "2"), (".contains", "user222", "?")):
         same(ds.documents({"account/user": query}, first=True), two)
 
 
 def test_books(spark, tmp_path, same):
     ds = Store.open(spark, str(tmp_path), BOOKS)
     three = [{"name": "The Count of Monte Cristo", "author": "Alexander Dumas"}, {"name": "Tom Sawyer", "author": "Mark Twain"}, {"name": "Les Miserables", "author": "Victor Hugo"}]
-    ds.insert({"account": {"user": "adi1", "password": "hello1"}})
-    ds.insert({"account": {"user": "adi2", "password": "hello2", "books": three}})
-    one = {"credits": 0, "type": "free", "password": "hello1", "user": "adi1"}
-    two = {"credits": 0, "type": "free", "password": "hello2", "user": "adi2"}
+    ds.insert({"account": {"user": "user1", "password": "hello1"}})
+    ds.insert({"account": {"user": "user2", "password": "hello2", "books": three}})
+    one = {"credits": 0, "type": "free", "password": "hello1", "user": "user1"}
+    two = {"credits": 0, "type": "free", "password": "hello2", "user": "user2"}
     same(ds.documents("account"), [{"account": one}, {"account": two}])
     same(ds.documents("account", pull={"account": {"books": "checked"}}), [{"account": one}, {"account": two | {"books": three}}])
     pulled = {d["account"]["user"]: d["account"] for d in ds.documents("account", pull={"account": {"books": "id"}})}
-    assert "books" not in pulled["adi1"] and sorted(pulled["adi2"]["books"]) == ds.ids("book")
+    assert "books" not in pulled["user1"] and sorted(pulled["user2"]["books"]) == ds.ids("book")
     narrow = {"account": {"books": {"author": "unchecked"}, "credits": "unchecked", "type": "unchecked"}}
     names = [{"name": b["name"]} for b in three]
-    short = {"account": {"user": "adi2", "password": "hello2", "books": names}}
-    same(ds.documents("account", access=narrow), [{"account": {"user": "adi1", "password": "hello1"}}, short])
+    short = {"account": {"user": "user2", "password": "hello2", "books": names}}
+    same(ds.documents("account", access=narrow), [{"account": {"user": "user1", "password": "hello1"}}, short])
     same(ds.documents({"account": {"books/author": "Victor Hugo"}}, first=True, pull=narrow), short)
     with pytest.raises(DocumentError) as e:
         ds.select({"account": {"books/author": "Victor Hugo"}}, first=True, access=narrow)
     assert "not-allowed" in e.value.tags and e.value.data["key_path"] == ["account", "books", "author"] and e.value.data["nsv"] == ["book", "author"]
     same(ds.documents({"account": {"books/author": "Victor Hugo"}}, first=True, access={"account": {"books": "checked"}}, pull=narrow), short)
     ds.insert([{"book": {"name": "The Book and the Sword", "author": "Louis Cha", "accounts": ds.ids("account")}}])
-    same(ds.documents({"book": {"accounts/user": "adi1"}}), [{"book": {"name": "The Book and the Sword", "author": "Louis Cha"}}])
-    ds.insert({"book": {"name": "Charlie and the Chocolate Factory", "author": "Roald Dahl", "accounts": [{"user": "adi3", "password": "hello3", "credits": 100}, {"user": "adi4", "password": "hello4", "credits": 500}]}})
-    same(ds.documents({"account": {"books/author": "Roald Dahl"}}, pull={"account": {"password": "unchecked", "credits": "unchecked", "type": "unchecked"}}), [{"account": {"user": "adi3"}}, {"account": {"user": "adi4"}}])
+    same(ds.documents({"book": {"accounts/user": "user1"}}), [{"book": {"name": "The Book and the Sword", "author": "Louis Cha"}}])
+    ds.insert({"book": {"name": "Charlie and the Chocolate Factory", "author": "Roald Dahl", "accounts": [{"user": "user3", "password": "hello3", "credits": 100}, {"user": "user4", "password": "hello4", "credits": 500}]}})
+    same(ds.documents({"account": {"books/author": "Roald Dahl"}}, pull={"account": {"password": "unchecked", "credits": "unchecked", "type": "unchecked"}}), [{"account": {"user": "user3"}}, {"account": {"user": "user4"}}])
     same(ds.documents({"book/author": ("?fulltext", "Louis")}, pull={"book": {"accounts": "checked"}}, first=True), {"book": {"author": "Louis Cha", "name": "The Book and the Sword", "accounts": [one, two]}})
     with pytest.raises(DocumentError) as e:
         ds.delete_all({"book/author": "Roald Dahl"})
