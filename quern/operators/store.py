@@ -19,7 +19,7 @@ from quern.functions.predicates import predicate
 from quern.operators.query import View
 from quern.plans.compile import Compiler
 from quern.plans.normalise import Entity, Normaliser, many, nested
-from quern.plans.pull import complete
+from quern.plans.pull import complete, plain
 from quern.plans.schema import SPARK_TYPES, Attribute, Schema
 from quern.sources.log import COLUMN, FACTS, FIRST_TX, VALUES, Facts, Log, fact_row
 from quern.terms import ANY, HOLE, DocumentError, Expr, TempId, Var, expression
@@ -40,7 +40,16 @@ class Commit:
     before: Store
     after: Store
     changed: DataFrame
-    documents: list | None = None
+    deleted: bool = False
+
+    def select(self, **keys: Any) -> DataFrame:
+        """The documents that the change touched, as they are after it; deleted ones as they were."""
+        store = self.before if self.deleted else self.after
+        ctx, rest, model = store._call("select", False, {"ids": True} | keys)
+        return store._shaped(store._known_frame(self.changed), store.schema.namespaces, ctx, rest, model)
+
+    def documents(self, **keys: Any) -> list[dict]:
+        return [plain(row) for row in self.select(**keys).collect()]
 
 
 @dataclass
@@ -114,6 +123,9 @@ class Store(View):
     def _known(self, ids: list[int]) -> DataFrame:
         return self.source.current().where(F.col("e").isin(ids)).select(F.col("e").alias("eid")).distinct()
 
+    def _known_frame(self, ids: DataFrame) -> DataFrame:
+        return self.source.current().join(ids.select(F.col("eid").alias("e")), "e", "left_semi").select(F.col("e").alias("eid")).distinct()
+
     # History
 
     def transactions(self, ident: str, value: Any = None) -> list[int]:
@@ -147,7 +159,7 @@ class Store(View):
             return entities
         draft = self._draft or Draft()
         roots = [self._emit(e, draft) for e in entities]
-        return self._finish(draft, keys, self.spark.createDataFrame([(r,) for r in roots], "eid bigint"), spaces=[e.namespaces() for e in entities])
+        return self._finish(draft, keys, self.spark.createDataFrame([(r,) for r in roots], "eid bigint"))
 
     def _set_flags(self, given: dict) -> dict:
         return {k: v for k, v in (self.defaults.get("options") or {}).items() if k.startswith("schema_")}
@@ -295,7 +307,7 @@ class Store(View):
                 holders = self.source.pairs(a).where(F.col("v") == F.lit(v)).select(F.col("e").alias("eid"))
                 if count > 1 or holders.join(ids, "eid", "left_anti").limit(1).count():
                     raise DocumentError("unique", f"{a.ident} has the value {v!r} already", nsv=a.ident.split("/"))
-        return self._finish(draft, keys, ids, fetch=True, spaces=[entity.namespaces()])
+        return self._finish(draft, keys, ids)
 
     def delete(self, query: Any, **given: Any) -> Any:
         """Retract every fact of the entities that fit, of their components, and all references to
@@ -315,7 +327,7 @@ class Store(View):
         into = gone.where(F.col("a").isin(refs)).join(ids.select(F.col("eid").alias("l")), "l", "left_semi").select(gone.columns)
         draft = self._draft or Draft()
         draft.frames.append(out.union(into).distinct().select("*", F.lit(False).alias("added")).select(FACTS.names))
-        return self._finish(draft, given, ids, old=True, spaces=[spaces])
+        return self._finish(draft, given, ids, old=True)
 
     def delete_all(self, query: Any, **given: Any) -> Any:
         """Delete also what is reachable by the references that the ``access`` model allows."""
@@ -359,7 +371,7 @@ class Store(View):
             own = "v" if reverse else "e"
             pairs = pairs.join(at_ids.select(F.col("eid").alias(own)), own, "left_semi")
             draft.frames.append(pairs.select("e", F.lit(stored.ident).alias("a"), *_value_columns(stored, F.col("v")), F.lit(False).alias("added")))
-        return self._finish(draft, keys, ids, fetch=True, spaces=[spaces])
+        return self._finish(draft, keys, ids)
 
     def _walked(self, ids: DataFrame, steps: list[str]) -> tuple[DataFrame, Attribute]:
         """Follow a path through references to its last attribute."""
@@ -432,18 +444,17 @@ class Store(View):
 
     # Committing
 
-    def _finish(self, draft: Draft, keys: dict, changed: DataFrame, old: bool = False, fetch: bool = False, spaces: list[list[str]] | None = None) -> Any:
+    def _finish(self, draft: Draft, keys: dict, changed: DataFrame, old: bool = False) -> Any:
         if self._draft is not None:  # inside sync(): the facts wait
             return draft
         how = keys.get("transact", "resolve")
         if how in ("async", "promise"):
-            return _POOL.submit(self._commit, draft, keys, changed)
+            return _POOL.submit(self._commit, draft, keys, changed, old)
         if how not in ("resolve", "report"):
             raise DocumentError("wrong-input", f"transact {how!r}: resolve, report, promise or async")
-        commit = self._commit(draft, keys, changed)
-        return commit
+        return self._commit(draft, keys, changed, old)
 
-    def _commit(self, draft: Draft, keys: dict, changed: DataFrame) -> Commit:
+    def _commit(self, draft: Draft, keys: dict, changed: DataFrame, old_only: bool = False) -> Commit:
         target = keys.get("connection") or self
         version, before = target.log.manifest()
         if self.fixed is not None and self.fixed != before["tx"] and not keys.get("simulate"):
@@ -454,9 +465,9 @@ class Store(View):
         if keys.get("simulate"):
             extra = facts.withColumn("tx", F.lit(before["tx"] + 1).cast("long")).select(*FACTS.names, "tx")
             extra = extra if self.extra is None else self.extra.unionByName(extra)
-            return Commit(None, draft.ids, old, Store(self.spark, self.log, self._schema, self.defaults, old.tx, extra), changed)
+            return Commit(None, draft.ids, old, Store(self.spark, self.log, self._schema, self.defaults, old.tx, extra), changed, old_only)
         tx = target.log.commit(version, before, facts.select(FACTS.names), draft.used)
-        return Commit(tx, draft.ids, old, target.snapshot(tx), changed)
+        return Commit(tx, draft.ids, old, target.snapshot(tx), changed, old_only)
 
     def _check_unique(self, draft: Draft) -> None:
         """No two entities may have a value of a unique attribute."""

@@ -8,6 +8,7 @@ writers that commit the same number one fails and nothing is half visible.
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 from typing import Any
 
@@ -93,17 +94,19 @@ class Log:
         return int(last.split(".")[0]), json.loads(text)
 
     def facts(self, tx: int) -> DataFrame:
-        """All facts up to a transaction."""
-        if tx <= FIRST_TX:
-            return self.spark.createDataFrame([], _LOGGED)
-        return self.spark.read.schema(_LOGGED).option("basePath", f"{self.path}/facts").parquet(f"{self.path}/facts").where(F.col("tx") <= tx)
+        """All facts up to a transaction: only the folders of such transactions are read."""
+        folders = self.manifest()[1].get("folders", {})
+        paths = [f"{self.path}/facts/{name}" for number, name in folders.items() if int(number) <= tx]
+        return self.spark.read.schema(_LOGGED).parquet(*paths) if paths else self.spark.createDataFrame([], _LOGGED)
 
     def commit(self, version: int, before: dict, facts: DataFrame, used: int) -> int:
-        """Write the facts as the next transaction and return its number."""
+        """Write the facts as the next transaction and return its number. The folder is the writer's
+        own, so a writer that fails to put its manifest harms nobody."""
         tx = before["tx"] + 1
-        target = f"{self.path}/facts/tx={tx}"
-        facts.write.mode("overwrite").parquet(target)
-        self._put(version + 1, {"tx": tx, "next": before["next"] + used, "times": before["times"] | {str(tx): _now()}})
+        name = f"{tx}-{uuid.uuid4().hex}"
+        facts.withColumn("tx", F.lit(tx).cast("long")).write.parquet(f"{self.path}/facts/{name}")
+        self._put(version + 1, {"tx": tx, "next": before["next"] + used, "times": before["times"] | {str(tx): _now()},
+                                "folders": before.get("folders", {}) | {str(tx): name}})
         return tx
 
 
