@@ -38,7 +38,7 @@ LEAST = 20
 #: Characters of the benchmark that are searched for at once.
 BLOCK_CHARS = 4_000_000
 
-_CHUNK = 1 << 20  # characters of text at once
+_CHUNK = 1 << 18  # characters of text at once
 _TABLE_BITS = 22
 _GAP = 0x110000  # no code point: stands between texts
 
@@ -141,7 +141,11 @@ class Index:
         seen: set[tuple[int, int, int]] = set()
         for shift in (0, self.reach):
             band = (diagonal + shift) // (2 * self.reach)
-            for t, w, low in self._bands(text, window, band, place):
+            # Counts by hash are never too low, and leave few bands to be counted exactly.
+            key = (text * len(self.windows) + window) * np.int64(0x2545F4914F6CDD1D) + band
+            slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)
+            full = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] >= self.least[window])
+            for t, w, low in self._bands(text[full], window[full], band[full], place[full]):
                 low = low * 2 * self.reach - shift - (WINDOW + STEP)
                 if (t, w, low) in seen:
                     continue
