@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,15 +11,26 @@ from pyspark.sql import functions as F
 from quern.plans.schema import Attribute, Schema
 
 
-@dataclass(frozen=True)
+@dataclass
 class Table:
-    """A DataFrame for a namespace: its id column (or expression) and each attribute's column. An
+    """A DataFrame for a namespace, or a function that reads it when it is first needed: its id column
+    (or an expression, or a function of the frame that gives one) and each attribute's column. An
     attribute of many values is an array column."""
 
-    frame: DataFrame
-    eid: str | Column
+    given: DataFrame | Callable[[], DataFrame]
+    key: str | Column | Callable[[DataFrame], Column]
     columns: dict[str, str | Column] = field(default_factory=dict)
 
+    @property
+    def frame(self) -> DataFrame:
+        if not isinstance(self.given, DataFrame):
+            self.given = self.given()
+        return self.given
+
+    @property
+    def eid(self) -> str | Column:
+        return self.key if isinstance(self.key, (str, Column)) else self.key(self.frame)
+
     def column(self, name: str | Column) -> Column:
         return F.col(name) if isinstance(name, str) else name
 
