@@ -104,7 +104,8 @@ class Log:
         own, so a writer that fails to put its manifest harms nobody."""
         tx = before["tx"] + 1
         name = f"{tx}-{uuid.uuid4().hex}"
-        facts.withColumn("tx", F.lit(tx).cast("long")).write.parquet(f"{self.path}/facts/{name}")
+        # Sorted by attribute, so that a query's attributes are few row groups of each file.
+        facts.withColumn("tx", F.lit(tx).cast("long")).sortWithinPartitions("a", "e").write.parquet(f"{self.path}/facts/{name}")
         self._put(version + 1, {"tx": tx, "next": before["next"] + used, "times": before["times"] | {str(tx): _now()},
                                 "folders": before.get("folders", {}) | {str(tx): name}})
         return tx
