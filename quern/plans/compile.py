@@ -78,7 +78,8 @@ class Compiler:
 
     def namespace(self, ns: str, own: dict[str, list], carry: list[Attribute]) -> Frame:
         single = list({a.ident: a for a in [*(self.schema.flat[i] for i in own if not self.schema.flat[i].many), *carry]}.values())
-        frame = Frame(self.source.wide(ns, single))
+        # A constraint on a single-valued attribute can only hold for entities that have it.
+        frame = Frame(self.source.wide(ns, single, implied=any(not self.schema.flat[i].many for i in own)))
         # Scalars first, so that their filters reach the scan; then references.
         for a in sorted((self.schema.flat[i] for i in own), key=lambda a: a.type == "ref"):
             for value in own[a.ident]:

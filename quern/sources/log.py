@@ -48,8 +48,9 @@ class Facts:
             F.max_by(values, F.struct("tx", "added")).alias("v"), F.max_by("added", F.struct("tx", "added")).alias("added"))
         return last.where("added").select("e", "a", "v.*")
 
-    def wide(self, ns: str, attributes: list[Attribute]) -> DataFrame:
-        own = self.current([a for a in self.schema.stored() if a.ns == ns])
+    def wide(self, ns: str, attributes: list[Attribute], implied: bool = False) -> DataFrame:
+        # Only where an entity may be known by other attributes than the wanted ones are all of them read.
+        own = self.current(attributes if implied and attributes else [a for a in self.schema.stored() if a.ns == ns])
         columns = [F.max(F.when(F.col("a") == a.ident, F.col(COLUMN[a.type]))).cast(SPARK_TYPES[a.type]).alias(a.ident) for a in attributes]
         grouped = own.groupBy(F.col("e").alias("eid"))
         return grouped.agg(*columns) if columns else grouped.agg(F.lit(1).alias("_one")).select("eid")

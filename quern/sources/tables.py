@@ -41,7 +41,7 @@ class Tables:
     def __init__(self, schema: Schema, tables: dict[str, Table]):
         self.schema, self.tables = schema, tables
 
-    def wide(self, ns: str, attributes: list[Attribute]) -> DataFrame:
+    def wide(self, ns: str, attributes: list[Attribute], implied: bool = False) -> DataFrame:
         table = self.tables[ns]
         return table.frame.select(table.column(table.eid).alias("eid"), *(table.column(table.columns[a.name]).alias(a.ident) for a in attributes))
 
