@@ -14,6 +14,7 @@ from quern.plans.normalise import Context, Entity, Normaliser, merge, nested_rul
 from quern.plans.pull import Puller, complete, plain
 from quern.plans.schema import Schema
 from quern.sources.base import Source
+from quern.sources.log import cut
 from quern.terms import DocumentError
 
 #: Keys of a call that are no parameters of pipeline functions.
@@ -182,7 +183,7 @@ class View:
         """Everything reachable over one kind of edge. Each round's ids are cut from their lineage."""
         seen = new = at.select("eid").distinct()
         while True:
-            new = edges.join(new, "eid", "left_semi").select(F.col("next").alias("eid")).distinct().join(seen, "eid", "left_anti").checkpoint()
+            new = cut(edges.join(new, "eid", "left_semi").select(F.col("next").alias("eid")).distinct().join(seen, "eid", "left_anti"))
             if not new.limit(1).count():
                 return seen
             seen = seen.union(new)

@@ -21,7 +21,7 @@ from quern.plans.compile import Compiler
 from quern.plans.normalise import Entity, Normaliser, many, nested
 from quern.plans.pull import complete, plain
 from quern.plans.schema import SPARK_TYPES, Attribute, Schema
-from quern.sources.log import COLUMN, FACTS, FIRST_TX, VALUES, Facts, Log, fact_row
+from quern.sources.log import COLUMN, FACTS, FIRST_TX, VALUES, Facts, Log, cut, fact_row
 from quern.terms import ANY, HOLE, DocumentError, Expr, TempId, Var, expression
 
 _POOL = ThreadPoolExecutor(4)
@@ -238,7 +238,7 @@ class Store(View):
             if a.default is not None and not callable(a.default):
                 column = F.coalesce(column, F.lit(a.default))
             columns[name] = column.cast(f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type])
-        rows = frame.select(*(c.alias(n) for n, c in columns.items())).checkpoint()
+        rows = cut(frame.select(*(c.alias(n) for n, c in columns.items())))
         missing = [n for n, a in own.items() if a.required and rows.where(F.col(n).isNull()).limit(1).count()]
         if missing:
             raise DocumentError("required", f"The following keys are required: {missing}", keys=[f"{ns}/{n}" for n in missing])
@@ -261,7 +261,7 @@ class Store(View):
         ctx, keys, _ = self._call(op, False, {k: v for k, v in given.items() if k not in ("transact", "simulate")})
         ctx.options.pop("ban_ids", None) if op == "update" and isinstance(query, dict) else None
         ids, spaces = self._ids(query, ctx)
-        return ids.checkpoint(), spaces, keys
+        return cut(ids), spaces, keys
 
     def update(self, query: Any, changes: dict, **given: Any) -> Any:
         """Add the changes to every entity that fits: single values are replaced, sets grow."""
@@ -418,7 +418,7 @@ class Store(View):
                 ctx, _, _ = self._call("select", False, {})
                 inner = term if all(k.split("/")[0] == "+" for k in term) else {ns: nested(term)}
                 ids = ids.join(Compiler(self.source).ids(Normaliser(ctx)(inner)), "eid", "left_semi")
-        return ids.checkpoint(), ns
+        return cut(ids), ns
 
     def update_in(self, query: Any, path: list, changes: dict, **given: Any) -> Any:
         ids, ns = self._in(query, path, "update", given)
@@ -489,7 +489,7 @@ def _value_columns(a: Attribute, value: Column) -> list[Column]:
 def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` with ``_rank`` 0, 1, ... and the number of rows, without gathering rows: one count for
     each partition comes to the driver."""
-    marked = df.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    marked = cut(df.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     starts = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0)))

@@ -8,6 +8,7 @@ writers that commit the same number one fails and nothing is half visible.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from datetime import UTC, datetime
 from typing import Any
@@ -112,6 +113,15 @@ class Log:
         return tx
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage gone. The folder is the one that the
+    session names in ``spark.checkpoint.dir``; only where there is none, one of our own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+    return df.checkpoint()
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds")
 
