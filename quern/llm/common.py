@@ -24,12 +24,12 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (single-machine
-    tests) is a folder of our own made and registered.
+    tests) is a folder of our own made, and kept as the context's checkpoint folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return shared.rstrip("/")
 
 
