@@ -1,4 +1,4 @@
-"""SQL for DuckDB with the results of the native operators' queries, built from their parameters."""
+"""SQL for DuckDB with the results of operators that SQL can express, built from their parameters."""
 
 from __future__ import annotations
 
@@ -102,4 +102,21 @@ def url_filter() -> str:
         f"bad_share FROM ruled r JOIN l{urls.DEPTH} l ON l.host = r.host AND l.form = r.form JOIN share s ON s.host = l.host AND s.template = l.template")
 
 
-ORACLE_SQL = {"op2_secret_scan": secret_scan(), "op10_license_scan": license_scan(), "op4_url_filter": url_filter()}
+def near_duplicates(size: int = 3, percent: int = 85) -> str:
+    """All pairs that share a shingle, and the closure of their links."""
+    words = f"[w FOR w IN string_split_regex({_lower('text')}, '[\\x20\\x09-\\x0D]+') IF w <> '']"
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return (
+        f"WITH RECURSIVE words AS (SELECT doc_id, {words} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), "
+        f"sets AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {size} THEN [{shingle} FOR i IN range(1, len(w) - {size - 2})] "
+        "WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words), "
+        "sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1), "
+        "pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2), "
+        f"links AS MATERIALIZED (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * p.n >= {percent} * (x.n + y.n - p.n)), "
+        "edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), "
+        "reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other) "
+        "SELECT r.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept "
+        "FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id")
+
+
+ORACLE_SQL = {"op2_secret_scan": secret_scan(), "op10_license_scan": license_scan(), "op4_url_filter": url_filter(), "op6_minhash_near_dedup": near_duplicates()}
