@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.compile import Compiler, datalog, run_datalog
-from quern.plans.normalise import Context, Entity, Normaliser, merge, nested_rules
+from quern.plans.normalise import Context, Entity, Normaliser
 from quern.plans.pull import Puller, complete, plain
 from quern.plans.schema import Schema
 from quern.sources.base import Source
 from quern.sources.log import cut
-from quern.terms import DocumentError
+from quern.terms import ANY, DocumentError
 
 #: Keys of a call that are no parameters of pipeline functions.
 FLAGS = ("ids", "blank", "ban_expressions", "ban_ids", "ban_top_id", "ban_body_ids", "ban_underscores", "schema_required", "schema_restrict",
@@ -57,7 +57,7 @@ class View:
             if isinstance(one, str):
                 if ctx.options.get("ban_underscores"):
                     raise DocumentError("keyword-banned", "a name as a query", data=one)
-                one = {one: "_"} if "/" not in one else {one: _any()}
+                one = {one: ANY}
             if isinstance(one, int) and not isinstance(one, bool):
                 if ctx.options.get("ban_ids") or ctx.options.get("ban_top_id"):
                     raise DocumentError("id-banned" if ctx.options.get("ban_ids") else "top-id-banned", "an id as a query", id=one)
@@ -189,17 +189,8 @@ class View:
             seen = seen.union(new)
 
 
-def _any() -> Any:
-    from quern.terms import ANY
-
-    return ANY
-
-
 def nested_merge(a: Any, b: Any) -> Any:
     """Call keys over defaults: dicts are merged, anything else is replaced."""
     if isinstance(a, dict) and isinstance(b, dict):
         return {k: nested_merge(a.get(k), b[k]) if k in b else a[k] for k in dict.fromkeys([*a, *b])}
     return b
-
-
-__all__ = ["View", "merge", "nested_rules"]

@@ -278,8 +278,7 @@ class Store(View):
                 self._emit(entity, draft, fixed=row["eid"])
             return self._finish(draft, keys, ids)
         # The change is written once with stand-ins, then put on every id by a join.
-        inner = Draft()
-        template = Draft(ids=inner.ids)
+        template = Draft()
         self._emit(entity, template, fixed=-1)
         base = self._base()[1]["next"]
         known = {v: k for k, v in template.ids.items()}

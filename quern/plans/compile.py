@@ -227,7 +227,6 @@ def run_datalog(source: Source, query: list, inputs: list | None = None) -> Data
             current.append(item)
     names = [x for x in parts.get("in", []) if x != "$"]
     given = dict(zip(names, inputs or []))
-    compiler = Compiler(source)
     frame: DataFrame | None = None
     seen: set[str] = set()
     later: list[Callable[[DataFrame], DataFrame]] = []
@@ -275,7 +274,6 @@ def run_datalog(source: Source, query: list, inputs: list | None = None) -> Data
                 F.lit(None), {a: F.col(f"`{a}`") for a in args if isinstance(a, str) and a.startswith("?")})))
         else:
             waiting.append(pattern(*clause[:3]))
-    del compiler
     while waiting:  # patterns may come in any order
         at = next((i for i, df in enumerate(waiting) if frame is None or seen & set(df.columns)), 0)
         add(waiting.pop(at))

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions.coerce import coerce_column
 from quern.operators.changes import Rows, TableView
@@ -296,6 +294,3 @@ _log("log_query", lambda f: View(f).select({"user": {"kinds": ["click", "error"]
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of Asia by a two-hop document query."""
     return QUERIES["sel_fwd2"](spark, sf_dir)
-
-
-__all__ = ["QUERIES", "SQL", "T", "datetime", "entry"]
