@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -111,11 +112,21 @@ def map_batches(
                 else:
                     yield from out
                 del batch, out
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later to the system. Workers live on after
+    their tasks, and those of earlier stages would hold it for nothing."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column without nulls."""
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()

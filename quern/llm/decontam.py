@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import read_table, texts_of, without_ids
+from quern.llm.common import give_back, read_table, texts_of, without_ids
 
 Q = 8
 WINDOW, STEP = 100, 50
@@ -208,6 +208,7 @@ def _search(texts: DataFrame, items: tuple[tuple[int | None, str], ...]) -> Data
                          pa.array([v[0] for v in found.values()], pa.int32()), pa.array([v[1] for v in found.values()], pa.int32()),
                          pa.array([v[2] for v in found.values()], pa.int64())], names=["doc_id", "item_id", "edits", "n_windows", "place"])
                     held, first, size = [], i + 1, 0
+        give_back()
 
     return texts.mapInArrow(run, FOUND)
 
