@@ -27,14 +27,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, read_table, text_bytes, texts_of
+from quern.llm.common import give_back, materialise, read_table, text_bytes, texts_of
 from quern.llm.shingles import chunks, hash_words, mix
 
 BUCKETS, CLASSES, PASSES = 1 << 16, 32, 4
 #: Weight of the class model against the unigram; pseudo-counts of transitions and emissions.
 MIXTURE, TRANSITION, EMISSION = 0.85, 0.1, 0.5
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The end token's word.
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 
@@ -84,6 +84,7 @@ def _encode(texts: DataFrame) -> DataFrame:
                     number, at, size = number + 1, i, 0
                 if i < len(raw):
                     size += len(raw[i])
+        give_back()
 
     return texts.mapInArrow(run, _BLOCKS)
 
@@ -166,7 +167,8 @@ def _count_pass(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * BUCKETS * width, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 codes, bucket, kind, before = _tokens(row, classes)
                 own = bucket[codes]
                 train = np.repeat(~np.array(row["held"], bool), row["lengths"])
@@ -177,6 +179,7 @@ def _count_pass(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
         parts = total.astype("<i4").reshape(2, _CHUNKS, -1)
         some = [c for c in range(_CHUNKS) if parts[:, c].any()]
         yield chunk_rows(some, [pa.compress(np.ascontiguousarray(parts[:, c]), "zstd", asbytes=True) for c in some])
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -267,6 +270,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield scored(batch.slice(i, 1).to_pylist()[0])
+        give_back()
 
     def scored(row: dict) -> pa.RecordBatch:
         codes, bucket, kind, before = _tokens(row, classes)
