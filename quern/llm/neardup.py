@@ -7,7 +7,8 @@ Method
     content are one class from the start. Classes that share a table key are candidates; they are
     gathered to candidate groups, and in each group the full sets are compared through an inverted
     index: a class is compared with all others of its group unless it already belongs to the
-    group's largest component, so no link that joins components is lost and pairs are not listed.
+    group's largest component. Classes that were passed over, but not in one and the same component
+    at the end, are compared after all, so no link that joins components is lost and pairs are not listed.
     A group of more than ``GROUP_SHINGLES`` shingles is split into blocks and every pair of blocks
     compared.
 
@@ -121,16 +122,29 @@ def _link_group(names: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent:
     order = np.argsort(member, kind="stable")
     posts = owner[order]
     heads = np.searchsorted(member[order], np.arange(member.max() + 2))
-    for i in range(n):
-        roots, in_root = np.unique(parent, return_counts=True)
-        if in_root.max() > 1 and parent[i] == roots[in_root.argmax()]:
-            continue
+
+    def look_up(i: int) -> None:
         own = member[starts[i] : stops[i]]
         lengths = heads[own + 1] - heads[own]
         at = np.repeat(heads[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         found = np.unique(parent[links(i, np.bincount(posts[at], minlength=n))])
         if len(found) > 1:
             parent[np.isin(parent, found)] = found[0]
+
+    skipped = []
+    for i in range(n):
+        roots, in_root = np.unique(parent, return_counts=True)
+        if in_root.max() > 1 and parent[i] == roots[in_root.argmax()]:
+            skipped.append(i)
+        else:
+            look_up(i)
+    # Another component may have become the largest since: only one's classes stay without a look.
+    if skipped:
+        roots, first, in_root = np.unique(parent[skipped], return_index=True, return_counts=True)
+        fixed = skipped[first[in_root.argmax()]]
+        for i in skipped:
+            if parent[i] != parent[fixed]:
+                look_up(i)
     for root in np.unique(parent):
         inside = names[parent == root]
         least = int(inside.min())
