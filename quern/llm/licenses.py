@@ -7,9 +7,10 @@ Method
     reaches the overlap o with a template of m words shares a word of the template's first
     m - o + 1 with the block's own first n - o + 1 (prefix filter), has n >= o (length filter),
     and at the first shared word enough words are left on both sides (positional filter). What
-    passes is verified by the exact overlap. Words of no template cannot be shared, so blocks are
-    reduced to template words first. Blocks are the lines of a text and, for long notices, which
-    are set over several lines, every ``WINDOW`` lines in a row.
+    passes is verified in its blocks. Words of no template cannot be shared, so texts are reduced to
+    template words first, and the join is made once for a text: what a block holds, its text holds.
+    Blocks of a template are the lines of a text, every run of ``SPREAD`` times as many words as the
+    notice has, over any line breaks, and, for long notices, every ``WINDOW`` lines in a row.
 
 Defined results: a null text is an empty one; a null id is carried along; every row is judged on
 its own, so repeated rows give repeated results; ties between templates give all their labels; an
@@ -31,6 +32,8 @@ from quern.llm.common import ascii_lower, materialise, read_table, texts_of
 THRESHOLD = 0.9
 #: Lines in a window, and the least overlap asked for by the notices that windows are compared with.
 WINDOW, LONG_NOTICE = 4, 11
+#: Words of a run, as a multiple of the notice's own: some words may stand between them.
+SPREAD = 1.25
 
 #: Phrases of the contract: label and words.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
@@ -115,6 +118,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     (1 where a phrase of the contract stands)."""
     texts = texts_of(df, id_col, text_col)
     sets = [(label, set(words_of(text))) for label, text in templates]
+    runs = [int(SPREAD * len(words_of(text))) for _, text in templates]
     vocabulary = sorted(set().union(*(words for _, words in sets)))
     counts = _token_counts(texts, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
@@ -123,12 +127,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     for k, (label, words) in enumerate(sets):
         tokens = sorted(rank[w] for w in words)
         need = math.ceil(round(threshold * len(tokens), 9))
-        ordered += [(k, label, tokens, need, i, tokens[i]) for i in range(len(tokens) - need + 1)]
+        ordered += [(label, tokens, need, runs[k], i, tokens[i]) for i in range(len(tokens) - need + 1)]
     spark = df.sparkSession
-    prefixes = F.broadcast(spark.createDataFrame(ordered, "template int, label string, tokens array<int>, need int, i int, token int"))
+    prefixes = F.broadcast(spark.createDataFrame(ordered, "label string, tokens array<int>, need int, run int, i int, token int"))
     by_rank = sorted(rank, key=rank.get)
     rare = [by_rank[token] for *_, token in ordered]
-    least = min(need for _, _, _, need, _, _ in ordered)
+    least = min(need for _, _, need, *_ in ordered)
 
     # Plain searches in the lower-cased text tell which texts need the exact patterns at all.
     text, low, has_phrase = F.col("text"), F.col("low"), F.col("has_phrase")
@@ -139,16 +143,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     facts = materialise(looked.select(
         "doc_id", F.monotonically_increasing_id().alias("row_id"), "n_words",
         *(c.alias(name) for name, c in _base(text, has_phrase, F.col("n_words")).items()),
-        F.when(F.col("has_rare"), _blocks(text, rank, least)).alias("blocks"),
+        F.when(F.col("has_rare"), _places(text, rank)).alias("places"),
     ), "licenses")
 
-    blocks = facts.where(F.size("blocks") > 0).select("row_id", F.inline("blocks"))
-    tokens = blocks.select("row_id", "words", "floor", F.size("words").alias("n"), F.posexplode("words").alias("j", "token"))
+    # What a text holds of the templates at all, rarest first; each template is met at the first word shared.
+    words = F.array_sort(F.array_distinct(F.col("places.rank")))
+    reduced = facts.where(F.size("places") >= least).select("row_id", "places", words.alias("words"))
+    tokens = reduced.select("row_id", "places", "words", F.size("words").alias("n"), F.posexplode("words").alias("j", "token"))
     left = F.least(F.size("tokens") - 1 - F.col("i"), F.col("n") - 1 - F.col("j"))
     candidates = tokens.join(prefixes, "token").where(
-        (F.col("need") >= F.col("floor")) & (F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")) & (left + 1 >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "tokens"))
-    matched = candidates.where(overlap >= F.col("need")).select("row_id", "label", (overlap / F.size("tokens")).alias("held"))
+        (F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")) & (left + 1 >= F.col("need")))
+    shared = F.array_intersect("words", "tokens")
+    candidates = candidates.where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("token")))
+    own = F.filter("places", lambda p: F.array_contains("tokens", p["rank"]))
+    overlaps = candidates.select("row_id", "label", "tokens", "need", "run", own.alias("own")).withColumn("overlap", _overlap())
+    matched = overlaps.where(F.col("overlap") >= F.col("need")).select("row_id", "label", (F.col("overlap") / F.size("tokens")).alias("held"))
     best = matched.groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("held").alias("held"))
 
     has_base = F.col("n_base") > 0
@@ -158,21 +167,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
         F.array_join(every, ",").alias("labels"), F.when(has_base, F.lit(1.0)).otherwise(F.coalesce("held", F.lit(0.0))).alias("score"))
 
 
-def _blocks(text: Column, rank: dict[str, int], least: int) -> Column:
-    """Lines and windows of lines, each as the sorted ranks of its template words and the overlap
-    (``floor``) that a template must ask for to be compared. Blocks with fewer template words than
-    their floor reach no such template (length filter)."""
-    lines = F.split(text, "\\r\\n|[\\r\\n]")
-    windows = F.when(F.size(lines) > 1, F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, WINDOW), " "))).otherwise(F.array().cast("array<string>"))
+def _places(text: Column, rank: dict[str, int]) -> Column:
+    """The template words of a text in order: line, place among the text's words, and rank."""
+    lines = F.split(ascii_lower(text), "\\r\\n|[\\r\\n]")
     ranks = F.create_map(*reduce(lambda out, item: [*out, F.lit(item[0]), F.lit(item[1])], rank.items(), []))
-
-    def reduced(block: Column, floor: int) -> Column:
-        known = F.transform(F.split(ascii_lower(block), _GAP), lambda w: F.try_element_at(ranks, w))
-        words = F.array_sort(F.array_distinct(F.filter(known, lambda r: r.isNotNull())))
-        return F.struct(words.alias("words"), F.lit(floor).alias("floor"))
-
-    some = lambda blocks, floor: F.filter(F.transform(blocks, lambda b: reduced(b, floor)), lambda b: F.size(b["words"]) >= b["floor"])
-    return F.concat(some(lines, least), some(windows, LONG_NOTICE))
+    line_words = F.transform(lines, lambda line, i: F.transform(
+        F.array_remove(F.split(line, _GAP), ""), lambda w: F.struct(i.alias("line"), F.try_element_at(ranks, w).alias("rank"))))
+    every = F.transform(F.flatten(line_words), lambda w, i: F.struct(w["line"].alias("line"), i.alias("at"), w["rank"].alias("rank")))
+    return F.filter(every, lambda w: w["rank"].isNotNull())
+
+
+def _overlap() -> Column:
+    """Most distinct words of the template that one block holds; ``own`` are the places of its words."""
+    own, n = F.col("own"), F.size("own")
+    distinct = lambda places: F.size(F.array_distinct(F.transform(places, lambda p: p["rank"])))
+    # A run and a block of lines begin at a word of the template; the latter at the first of a line.
+    runs = F.transform(own, lambda p, i: distinct(F.filter(F.slice(own, i + 1, F.col("run")), lambda q: q["at"] < p["at"] + F.col("run"))))
+    height = F.when(F.col("need") >= LONG_NOTICE, WINDOW).otherwise(1)
+    heads = F.array_distinct(F.transform(own, lambda p: p["line"]))
+    lines = F.transform(heads, lambda head: distinct(F.filter(own, lambda q: (q["line"] >= head) & (q["line"] < head + height))))
+    return F.when(n > 0, F.array_max(F.concat(runs, lines))).otherwise(F.lit(0))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Cases of the reviewer's findings, against brute force."""
 
 import random
+import textwrap
 
 import numpy as np
+import pytest
 
-from quern.llm import neardup
+from quern.llm import licenses, neardup
 
 
 def group_components(sets, percent):
@@ -41,3 +43,26 @@ def test_chains_of_versions():
         pick.shuffle(sets)
         label, found = group_components(sets, 80)
         assert found == label
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices(spark, mark):
+    """Every notice, set at any width, with or without comment marks, is found."""
+    texts, labels = [], []
+    for label, notice in licenses.TEMPLATES:
+        for width in (16, 30, 45):
+            lines = textwrap.wrap(notice, width)
+            assert len(lines) > 1 or len(notice) <= width
+            texts.append("Some words before\n\n" + "\n".join(mark + x for x in lines) + "\n\nand some after")
+            labels.append(label)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert [i for i, label in enumerate(labels) if label not in rows[i]["labels"].split(",")] == []
+
+
+def test_scattered_words(spark):
+    """Words of a notice that stand far from each other, on lines of their own, are no notice."""
+    words = licenses.words_of("Licensed under the GNU Lesser General Public License")
+    text = "\n".join(w + " other" * 20 for w in words)
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == "" and row["score"] == 0
