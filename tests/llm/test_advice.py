@@ -21,7 +21,8 @@ def group_components(sets, percent):
     found = list(range(len(sets)))
     flat = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
     sizes = np.array([len(s) for s in sets], np.int64)
-    for name, root in neardup._link_group(np.arange(len(sets)), flat, sizes, percent):
+    everything = np.ones(len(sets), bool)
+    for name, root in neardup.link_group(np.arange(len(sets)), everything, flat, sizes, percent):
         found[name] = root
     return label, found
 
@@ -66,3 +67,60 @@ def test_scattered_words(spark):
     text = "\n".join(w + " other" * 20 for w in words)
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert row["labels"] == "" and row["score"] == 0
+
+
+def chain_texts(pick, chains, length):
+    """Texts of which each is linked with the next of its chain only, in random order, and each one's chain."""
+    texts = []
+    for c in range(chains):
+        words = [f"w{c}x{k}" for k in range(102 + 6 * length)]
+        texts += [(" ".join(words[6 * k : 6 * k + 102]), c) for k in range(length)]
+    pick.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("bounds", [(128, 512), (4, 512), (3, 2)])
+def test_chains_end_to_end(spark, monkeypatch, bounds):
+    """One component for each chain, with groups in one block, in many, and dealt anew."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", bounds[0])
+    monkeypatch.setattr(neardup, "OTHER_ROWS", bounds[1])
+    texts = chain_texts(random.Random(bounds[0]), 40, 9)
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    rows = neardup.link(df, size=3, percent=85).collect()
+    least = {}
+    for k, (_, c) in enumerate(texts):
+        least.setdefault(c, k)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: least[c] for k, (_, c) in enumerate(texts)}
+
+
+def test_crowd_in_blocks(spark, monkeypatch):
+    """A crowd of near copies, some of them only linked by way of others, over many small blocks."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 8)
+    monkeypatch.setattr(neardup, "OTHER_ROWS", 8)
+    pick = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for i in range(pick.randint(0, 6)):
+            words[pick.randrange(len(words))] = f"y{k}z{i}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.link(df, size=3, percent=85).collect()}
+    assert len(set(label)) > 1 and [found[k] for k in range(len(texts))] == label
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_missed_pairs(percent):
+    """The number of half keys keeps the probability of a miss just at the similarity within bounds."""
+    h = neardup.halves(percent)
+    miss = 1 - (1 - (1 - (percent / 100) ** neardup.WIDTH) ** h) ** 2
+    assert miss <= neardup.MISS * 1.01
