@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -57,12 +58,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < top < 65536:
         raise ValueError("bad maximum value")
     shape = (height, width, 3) if kind in b"36" else (height, width)
-    count = int(np.prod(shape, dtype=np.int64))
+    count = math.prod(shape)
+    if count > 8 * len(data):  # not even a bit for each sample; also keeps made-up sizes out of the arithmetic
+        raise ValueError("too few samples")
     if kind in b"123":
         body = data[at:].split()
         if kind == b"1":  # digits of a bit map may stand together
             body = [bytes([c]) for c in b"".join(body)]
-        out = np.array([int(x) for x in body[:count]], np.int64)
+        out = np.array([min(int(x), top + 1) for x in body[:count]], np.int64)
+        if out.size and not 0 <= out.min() <= out.max() <= top:
+            raise ValueError("a sample out of range")
     elif kind == b"4":
         row = -(-width // 8)
         bits = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
@@ -87,6 +92,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if method not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
         raise ValueError("unsupported BMP")
     row = (width * bits + 31) // 32 * 4
+    if row * abs(height) > len(data):
+        raise ValueError("too few samples")
     rows = np.frombuffer(data, np.uint8, row * abs(height), offset).reshape(abs(height), row)
     rows = rows if height < 0 else rows[::-1]
     if bits > 8:
@@ -112,7 +119,7 @@ def decode(data: bytes) -> np.ndarray | None:
             return decode_netpbm(data)
         if data[:2] == b"BM":
             return decode_bmp(data)
-    except (ValueError, IndexError):
+    except (ValueError, IndexError, OverflowError):
         pass
     return None
 
