@@ -5,7 +5,9 @@ Method
     open elements around it. A block's features are its ancestors' tags, what their classes, ids
     and roles say, and properties of the text (length, link share, punctuation, cue words, place).
     A two-state chain (boilerplate, main text) with a weight for each feature and transition is
-    trained by gradient steps on its log likelihood over labelled pages, and decoded by Viterbi.
+    trained by gradient steps on its log likelihood over labelled pages, and decoded by Viterbi. Where
+    a page must have main text - an article or main element holds some, or no block stands in
+    anything that tells its role - the best path is taken among those that have a main block.
     The labelled pages are made here by a seeded generator, of many layouts; their text is random
     words, so nothing about a page's topic or language is learned.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -81,11 +84,23 @@ class Block:
     """Text between two block boundaries, white space already single."""
 
     text: str
-    tags: tuple[str, ...]
+    leaf: str  # tag of the innermost block element
+    path: int  # equal for blocks with the same tags around them
+    in_h1: bool
     features: frozenset[str]
     linked: int  # characters inside links
 
 
+@dataclass(frozen=True)
+class Element:
+    """An open block element."""
+
+    tag: str
+    path: int
+    in_h1: bool
+    features: frozenset[str]
+
+
 @lru_cache(maxsize=20_000)
 def _own_features(tag: str, attributes: str) -> frozenset[str]:
     found = {f"in:{tag}"} if tag not in ("div", "body", "html") else set()
@@ -108,9 +123,12 @@ def _within(outer: frozenset[str], own: frozenset[str]) -> frozenset[str]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's leaf blocks in order."""
+    """The page's leaf blocks in order. Elements may be nested to any depth: what is kept of those
+    around a block is a set of features and a number for their tags."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    stack = [Element("", 0, False, frozenset())]
+    paths: dict[tuple[int, str], int] = {}
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
     in_link = False
@@ -119,10 +137,16 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack[1:]), stack[-1][1], len("".join(links))))
+                top = stack[-1]
+                out.append(Block(text, top.tag, top.path, top.in_h1, top.features, len("".join(links))))
             parts.clear()
             links.clear()
 
+    def close_to(at: int) -> None:
+        for element in stack[at:]:
+            open_tags[element.tag] -= 1
+        del stack[at:]
+
     def add(raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
@@ -156,22 +180,21 @@ def blocks_of(page: str) -> list[Block]:
             close_block()
             in_link = False
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if open_tags[tag]:
+                    close_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             else:
-                if stack[-1][0] == "p":  # a block ends an open paragraph
-                    stack.pop()
-                ends, within = _ENDS.get(tag, ((), ()))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                if tag not in _VOID and len(stack) < 512:
-                    stack.append((tag, _within(stack[-1][1], _own_features(tag, attributes))))
+                if stack[-1].tag == "p":  # a block ends an open paragraph
+                    close_to(len(stack) - 1)
+                ends, within = _ENDS.get(tag, (frozenset(), frozenset()))
+                if any(open_tags[t] for t in ends):
+                    i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in within)
+                    if stack[i].tag not in within:
+                        close_to(i)
+                if tag not in _VOID:
+                    top = stack[-1]
+                    path = paths.setdefault((top.path, tag), len(paths) + 1)
+                    stack.append(Element(tag, path, top.in_h1 or tag == "h1", _within(top.features, _own_features(tag, attributes))))
+                    open_tags[tag] += 1
     close_block()
     return out
 
@@ -181,7 +204,7 @@ def features(blocks: list[Block]) -> Iterator[list[str]]:
     heading = False
     for i, b in enumerate(blocks):
         n = b.text.count(" ") + 1
-        found = [f"leaf:{b.tags[-1] if b.tags else ''}"]
+        found = [f"leaf:{b.leaf}"]
         found.append("words:" + ("1" if n < 3 else "3" if n < 6 else "6" if n < 16 else "16" if n < 41 else "41"))
         share = b.linked / max(1, len(b.text))
         found.append("link:" + ("0" if share == 0 else "1" if share < 0.34 else "2" if share < 0.8 else "3"))
@@ -191,12 +214,12 @@ def features(blocks: list[Block]) -> Iterator[list[str]]:
         if re.search(r"[|·»›→]", b.text):
             found.append("bar")
         found.append("after-h1" if heading else "before-h1")
-        heading = heading or "h1" in b.tags
+        heading = heading or b.in_h1
         if i == 0:
             found.append("first")
         if i == len(blocks) - 1:
             found.append("last")
-        if i and blocks[i - 1].tags == b.tags:
+        if i and blocks[i - 1].path == b.path:
             found.append("same")
         yield found
 
@@ -218,24 +241,48 @@ class Chain:
         return total + sum(self.weights.get(f, 0.0) for f in own)
 
     def decode(self, blocks: list[Block]) -> list[bool]:
-        """The best state sequence (Viterbi)."""
+        """The best state sequence (Viterbi); with a main block if the page must have main text."""
+        if not blocks:
+            return []
         (stay, up), (down, keep) = self.moves
-        zero = one = 0.0
-        back: list[tuple[int, int]] = []
-        for i, (b, own) in enumerate(zip(blocks, features(blocks))):
-            e = self.emission(b, own)
-            if i == 0:
-                zero, one = 0.0, e
-                continue
+        emissions = [self.emission(b, own) for b, own in zip(blocks, features(blocks))]
+        ahead = [(0.0, emissions[0])]  # the best score of a path to each state of each block
+        back: list[tuple[int, int]] = [(0, 0)]
+        for e in emissions[1:]:
+            zero, one = ahead[-1]
             to_zero, to_one = one + down > zero + stay, one + keep >= zero + up
             back.append((int(to_zero), int(to_one)))
-            zero, one = (one + down if to_zero else zero + stay), (one + keep if to_one else zero + up) + e
-        state = int(one > zero)
+            ahead.append((one + down if to_zero else zero + stay, (one + keep if to_one else zero + up) + e))
+        state = int(ahead[-1][1] > ahead[-1][0])
+        out = self._trace(back, len(blocks) - 1, state)
+        if any(out) or not must_have_text(blocks):
+            return out
+        rest = [(0.0, 0.0)]  # the best score of what follows each state
+        for e in reversed(emissions[1:]):
+            zero, one = rest[-1]
+            rest.append((max(stay + zero, up + e + one), max(down + zero, keep + e + one)))
+        rest.reverse()
+        at = max(range(len(blocks)), key=lambda i: ahead[i][1] + rest[i][1])
+        out = self._trace(back, at, 1)
+        for e, (zero, one) in zip(emissions[at + 1 :], rest[at + 1 :]):
+            out.append(self.moves[out[-1]][1] + e + one > self.moves[out[-1]][0] + zero)
+        return out
+
+    @staticmethod
+    def _trace(back: list[tuple[int, int]], at: int, state: int) -> list[bool]:
         out = [state]
-        for choice in reversed(back):
+        for choice in back[at:0:-1]:
             state = choice[state]
             out.append(state)
-        return [bool(s) for s in reversed(out)] if blocks else []
+        return [bool(s) for s in reversed(out)]
+
+
+_ARTICLE = {"inner:in:article", "inner:in:main"}
+
+
+def must_have_text(blocks: list[Block]) -> bool:
+    """Whether an article or main element has text of its own, or nothing tells any block's role."""
+    return any(b.features & _ARTICLE for b in blocks) or not any(f.startswith("inner:") for b in blocks for f in b.features)
 
 
 def train(pages: list[tuple[list[Block], list[bool]]], steps: int = 300) -> Chain:
@@ -385,6 +432,10 @@ class PageMaker:
             article = f'<div id="content">{article}</div>'
         if 0.7 <= heading < 0.85:
             article = f"<h1>{keep(title)}</h1>" + article
+        if r.random() < 0.2:  # simple pages: paragraphs in the body, in a plain element, or a single one
+            inner = "".join(f"<p>{keep(self.words(r.choice((1, 8)), r.choice((12, 60))))}</p>" for _ in range(r.choice((1, 1, 2, 4, 8))))
+            tag = r.choice(("", "", "div", "article", "main"))
+            article = f"<{tag}>{inner}</{tag}>" if tag else inner
         above = [f() for f in (head, menu, notice, advert, fields, side) if r.random() < 0.35]
         below = [f() for f in (comments, side, advert, notice, fields, menu) if r.random() < 0.3] + ([foot()] if r.random() < 0.85 else [])
         r.shuffle(above)
