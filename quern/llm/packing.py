@@ -7,7 +7,9 @@ Method
        bounds on its bin count. A partition whose bin count equals its bound is certified.
     3. Bins that are nearly full stay, the more so in a certified partition. The pieces of all other
        bins go into a pool that is dealt anew to fewer partitions, so that partitions with gaps
-       exchange documents, and best-fit decreasing runs again, until one partition holds the pool.
+       exchange documents, and best-fit decreasing runs again, until one partition holds the pool or
+       a round leaves more than ``PROGRESS`` of it. ``certificate`` holds the result against the
+       bound on all pieces.
 
 Defined results: a null text is an empty one (a single piece: the end id alone); a null id is
 carried along; repeated rows are packed as often as they occur; an empty table gives no rows;
@@ -36,6 +38,8 @@ PIECES_PER_PARTITION = 40_000
 #: A bin keeps its pieces for another round if more than capacity // CERTIFIED_GAP of it is free. In
 #: a partition that is not certified, more than capacity // OPEN_GAP is enough.
 CERTIFIED_GAP, OPEN_GAP = 64, 512
+#: Share of a round's pieces that may go on to another round.
+PROGRESS = 0.75
 #: Entries of a tokeniser worker's young and of its old word cache.
 CACHE_WORDS = 400_000
 
@@ -337,13 +341,23 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toke
     count = pool.count()
     while True:
         partitions = -(-count // pieces_per_partition) or 1
-        last = partitions == 1 or level >= 6
-        packed = materialise(_pack_round(pool, partitions, max_tokens, level, last), f"packed{level}")
+        packed = materialise(_pack_round(pool, partitions, max_tokens, level, partitions == 1), f"packed{level}")
+        left = 0 if partitions == 1 else packed.where("not done").count()
+        if left > PROGRESS * count:  # another exchange would not help: the bins stay as they are
+            packed, left = packed.withColumn("done", F.lit(True)), 0
         result = result.unionByName(packed.where("done").drop("done"))
-        if last:
+        if not left:
             return result
-        pool = packed.where("not done").select(pieces.columns)
-        count, level = pool.count(), level + 1
+        pool, count, level = packed.where("not done").select(pieces.columns), left, level + 1
+
+
+def certificate(packed: DataFrame, max_tokens: int = MAX_TOKENS) -> tuple[int, int]:
+    """The sequences of a packing, and the lower bound on them that holds for all pieces together."""
+    sizes = packed.groupBy("length").count().collect()  # at most a row for each length
+    counts = np.zeros(max_tokens + 1, np.int64)
+    for row in sizes:
+        counts[row["length"]] = row["count"]
+    return packed.select("sequence_id").distinct().count(), lower_bound(counts, max_tokens)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
