@@ -1,20 +1,22 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Method
-    Benchmark items are cut into overlapping windows of ``WINDOW`` characters, so that a leaked
-    part of ``WINDOW`` + ``STEP`` characters holds a whole one; shorter items are one window. A
+    Benchmark items are cut into overlapping windows of ``WINDOW`` characters every ``STEP``
+    characters, so that a leaked part of ``WINDOW`` + ``STEP`` - 1 characters holds a whole one; items
+    of at most ``WINDOW`` characters are one window. A
     window of m characters may differ from the text by e = floor(``RATE`` * m) edits. By the q-gram
     lemma a text region within e edits shares at least m - q + 1 - q * e q-grams with it, on
     diagonals at most e apart. Shared q-grams are counted in overlapping diagonal bands, each band
     as wide as to hold such a run of diagonals; bands that meet the bound are verified by an
-    edit-distance alignment confined to the band. Characters are code points after lower-casing
-    and making white space single. The benchmark is taken in blocks of bounded size, each sent
-    to all tasks and searched against all texts.
-
-Defined results: a null or empty text holds nothing; null or empty items, and such with fewer than
-``LEAST`` characters, are not searched for; a null id is carried along; repeated rows of a document
-give one row for each item; repeated items are reported for each of their ids; empty tables give no rows; other columns are
-ignored by ``leaks`` and kept by ``clean``.
+    edit-distance alignment confined to the band, many bands at once. Characters are code points after lower-casing
+    and making white space single. Items of fewer than ``LEAST`` characters allow no edits: they are
+    found where they stand as they are, between other characters than letters and digits. The benchmark is taken in
+    blocks of bounded size, each sent to all tasks and searched against all texts.
+
+Defined results: a null or empty text holds nothing; null or empty items are not searched for; a null id is carried along;
+repeated rows of a document give one row for each item; repeated items are reported for each of their ids; empty tables give
+no rows; other columns are ignored by ``leaks`` and kept by ``clean``, for which items of fewer than ``LEAST`` characters are no
+leak: a short phrase may stand anywhere.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +33,16 @@ from pyspark.sql import functions as F
 from quern.llm.common import give_back, read_table, texts_of, without_ids
 
 Q = 8
-WINDOW, STEP = 100, 50
+WINDOW, STEP = 100, 25
 #: Edits in a window's characters.
 RATE = 0.08
-#: Fewest characters of an item.
+#: Fewest characters of an item that may be found with edits, and that ``clean`` removes documents for.
 LEAST = 20
 #: Characters of the benchmark that are searched for at once.
 BLOCK_CHARS = 4_000_000
 
 _CHUNK = 1 << 18  # characters of text at once
+_TOGETHER = 512  # bands that are aligned at once
 _TABLE_BITS = 22
 _GAP = 0x110000  # no code point: stands between texts
 
@@ -62,32 +66,37 @@ def grams(points: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xFF51AFD7ED558CCD)
 
 
+def banded_distances(patterns: list[np.ndarray], texts: list[np.ndarray], lows: np.ndarray, width: int, most: np.ndarray) -> np.ndarray:
+    """Fewest edits between each pattern and any part of its text on the diagonals from ``low`` on
+    (text place less pattern place), ``width`` of them, or most + 1 if there are more than ``most``."""
+    n, longest = len(patterns), max(map(len, patterns))
+    far = (most + 1)[:, None]
+    steps = np.arange(width)
+    # The characters at which a band may look, from its lowest diagonal on; _GAP where there is no text.
+    seen = np.full((n, longest + width), _GAP, np.uint32)
+    chars = np.full((n, longest), _GAP + 1, np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    for k, (pattern, text, low) in enumerate(zip(patterns, texts, lows.tolist())):
+        chars[k, : len(pattern)] = pattern
+        part = text[max(0, low) : max(0, low + longest + width)]
+        seen[k, max(0, -low) : max(0, -low) + len(part)] = part
+    place = lows[:, None] + steps  # characters of the text used by each diagonal before the first step
+    row = np.where((place >= 0) & (place <= sizes[:, None]), 0, far)  # a part may start anywhere
+    lengths = np.fromiter(map(len, patterns), np.int64, n)
+    for i in range(longest):
+        place = place + 1
+        new = np.where(place > 0, row + (seen[:, i : i + width] != chars[:, i, None]), far)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        new = np.where((place < 0) | (place > sizes[:, None]), far, new)
+        new = np.minimum.accumulate(new - steps, axis=1) + steps  # characters of the text alone
+        new = np.where((place < 0) | (place > sizes[:, None]), far, np.minimum(new, far))
+        row = np.where((i < lengths)[:, None], new, row)
+    return np.minimum(row.min(1), far[:, 0])
+
+
 def banded_distance(pattern: str, text: str, low: int, high: int, most: int) -> int:
-    """Fewest edits between ``pattern`` and any part of ``text`` on diagonals ``low`` to ``high``
-    (text place less pattern place), or most + 1 if there are more than ``most``."""
-    width = high - low + 1
-    far = most + 1
-    row = [0 if 0 <= low + k <= len(text) else far for k in range(width)]  # a part may start anywhere
-    for i, c in enumerate(pattern):
-        new, left = [], far
-        for k in range(width):
-            j = i + 1 + low + k  # characters of the text that are used
-            if j < 0 or j > len(text):
-                best = far
-            else:
-                best = row[k] + (text[j - 1] != c) if j else far
-                if k + 1 < width and row[k + 1] + 1 < best:
-                    best = row[k + 1] + 1
-                if left + 1 < best:
-                    best = left + 1
-                if best > far:
-                    best = far
-            new.append(best)
-            left = best
-        row = new
-        if min(row) > most:
-            return far
-    return min(min(row), far)
+    """The same for one pattern, on the diagonals ``low`` to ``high``."""
+    return int(banded_distances([code_points(pattern)], [code_points(text)], np.array([low]), high - low + 1, np.array([most]))[0])
 
 
 class Index:
@@ -99,15 +108,23 @@ class Index:
         for k, (_, text) in enumerate(items):
             if len(text) >= LEAST:
                 last = max(0, len(text) - WINDOW)
-                starts = sorted({*range(0, last + 1, STEP), last}) if len(text) >= WINDOW + STEP else [0]
-                size = WINDOW if len(text) >= WINDOW + STEP else len(text)
-                self.windows += [(k, s, text[s : s + size]) for s in starts]
+                self.windows += [(k, s, text[s : s + WINDOW]) for s in sorted({*range(0, last + 1, STEP), last})]
+        short: dict[str, list[int]] = {}
+        for k, (_, text) in enumerate(items):
+            if 0 < len(text) < LEAST:
+                short.setdefault(text, []).append(k)
+        self.short = ahocorasick.Automaton() if short else None
+        for text, numbers in short.items():
+            self.short.add_word(text, (len(text), numbers))
+        if short:
+            self.short.make_automaton()
         length = np.array([len(w) for _, _, w in self.windows], np.int64)
         self.edits = (RATE * length).astype(np.int64)
         # A short window's budget is cut until the bound asks for a shared q-gram at least.
         self.edits = np.minimum(self.edits, (length - Q) // Q)
         self.least = length - Q + 1 - Q * self.edits
-        found = [grams(code_points(w)) for _, _, w in self.windows]
+        self.points = [code_points(w) for _, _, w in self.windows]
+        found = [grams(p) for p in self.points]
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         window = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -137,26 +154,27 @@ class Index:
         window, place = self.post_window[post], self.post_place[post]
         text = np.searchsorted(starts, at, side="right") - 1
         diagonal = at - starts[text] - place + WINDOW + STEP  # not negative
-        out: dict[tuple[int, int], list[int]] = {}
-        seen: set[tuple[int, int, int]] = set()
+        bands: set[tuple[int, int, int]] = set()
         for shift in (0, self.reach):
             band = (diagonal + shift) // (2 * self.reach)
             # Counts by hash are never too low, and leave few bands to be counted exactly.
             key = (text * len(self.windows) + window) * np.int64(0x2545F4914F6CDD1D) + band
             slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18)
             full = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] >= self.least[window])
-            for t, w, low in self._bands(text[full], window[full], band[full], place[full]):
-                low = low * 2 * self.reach - shift - (WINDOW + STEP)
-                if (t, w, low) in seen:
-                    continue
-                seen.add((t, w, low))
-                found = self._verify(texts[t], w, low)
-                if found is not None:
-                    best = out.setdefault((t, self.windows[w][0]), [found[0], {w}, found[1]])
-                    best[1].add(w)
-                    if found[0] < best[0]:
-                        best[0], best[2] = found
-        return {k: (edits, len(ws), where) for k, (edits, ws, where) in out.items()}
+            bands.update((t, w, b * 2 * self.reach - shift - (WINDOW + STEP)) for t, w, b in self._bands(text[full], window[full], band[full], place[full]))
+        out: dict[tuple[int, int], list] = {}
+
+        for t, w, edits, where in self._verified(texts, points, sorted(bands)):
+            best = out.setdefault((t, self.windows[w][0]), [edits, where, set()])
+            best[2].add(w)
+            best[:2] = min(best[:2], [edits, where])
+        for t, own in enumerate(texts if self.short else []):
+            for last, (size, numbers) in self.short.iter(own):
+                first = last + 1 - size
+                if not own[first - 1 : first].isalnum() and not own[last + 1 : last + 2].isalnum():
+                    for k in numbers:
+                        out.setdefault((t, k), [0, first, set()])
+        return {k: (edits, len(ws), where) for k, (edits, where, ws) in out.items()}
 
     def _bands(self, text: np.ndarray, window: np.ndarray, band: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Bands in which enough different q-grams of the window occur."""
@@ -171,15 +189,25 @@ class Index:
         good = heads[counts >= self.least[w[heads]]]
         return zip(t[good].tolist(), w[good].tolist(), b[good].tolist())
 
-    def _verify(self, text: str, w: int, low: int) -> tuple[int, int] | None:
-        """Edits and place of the window in the text on the band from ``low``, if within its budget."""
-        pattern, most = self.windows[w][2], int(self.edits[w])
-        high = low + 2 * self.reach - 1
-        exact = text.find(pattern, max(0, low), high + len(pattern) + 1)
-        if exact >= 0:
-            return 0, exact
-        edits = banded_distance(pattern, text, low - most, high + most, most)
-        return (edits, max(0, low)) if edits <= most else None
+    def _verified(self, texts: list[str], points: list[np.ndarray], bands: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """Text, window, edits and place of the bands that hold their window within its budget."""
+        open_bands = []
+        for t, w, low in bands:
+            pattern = self.windows[w][2]
+            exact = texts[t].find(pattern, max(0, low), max(0, low + 2 * self.reach + len(pattern)))
+            if exact >= 0:
+                yield t, w, 0, exact
+            else:
+                open_bands.append((t, w, low))
+        for at in range(0, len(open_bands), _TOGETHER):
+            some = open_bands[at : at + _TOGETHER]
+            budget = self.edits[[w for _, w, _ in some]]
+            lows = np.array([low for *_, low in some], np.int64) - self.reach
+            patterns = [self.points[w] for _, w, _ in some]
+            edits = banded_distances(patterns, [points[t] for t, *_ in some], lows, 4 * self.reach, budget)
+            for (t, w, low), e, most in zip(some, edits.tolist(), budget.tolist()):
+                if e <= most:
+                    yield t, w, e, max(0, low)
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +260,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tupl
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, edits, n_windows, place: a row for every document and item of which it holds
-    a window; fewest edits in a window, and where that one stands in the normal text."""
+    a window, or a short item (n_windows is 0); fewest edits, and where that stands in the normal text."""
     texts = texts_of(docs, id_col, text_col)
     result = docs.sparkSession.createDataFrame([], FOUND)
     for items in _blocks(benchmark, item_col, item_text_col):
@@ -245,7 +273,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; rows without an id go if one of
     them holds one."""
-    return without_ids(docs, leaks(docs, benchmark, id_col, text_col).select("doc_id"), id_col)
+    found = leaks(docs, benchmark, id_col, text_col).where("n_windows > 0")
+    return without_ids(docs, found.select("doc_id"), id_col)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
