@@ -9,8 +9,8 @@ Method
     and at the first shared word enough words are left on both sides (positional filter). What
     passes is verified in its blocks. Words of no template cannot be shared, so texts are reduced to
     template words first, and the join is made once for a text: what a block holds, its text holds.
-    Blocks of a template are the lines of a text, every run of ``SPREAD`` times as many words as the
-    notice has, over any line breaks, and, for long notices, every ``WINDOW`` lines in a row.
+    Blocks of a template are the lines of a text, of any length, and every run of ``SPREAD`` times as
+    many words as the notice has, over any line breaks.
 
 Defined results: a null text is an empty one; a null id is carried along; every row is judged on
 its own, so repeated rows give repeated results; ties between templates give all their labels; an
@@ -30,10 +30,8 @@ from quern.llm.common import ascii_lower, materialise, read_table, texts_of
 
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.9
-#: Lines in a window, and the least overlap asked for by the notices that windows are compared with.
-WINDOW, LONG_NOTICE = 4, 11
-#: Words of a run, as a multiple of the notice's own: some words may stand between them.
-SPREAD = 1.25
+#: Words of a run, as a multiple of the notice's own: as many words may stand between them.
+SPREAD = 2
 
 #: Phrases of the contract: label and words.
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
@@ -181,11 +179,9 @@ def _overlap() -> Column:
     """Most distinct words of the template that one block holds; ``own`` are the places of its words."""
     own, n = F.col("own"), F.size("own")
     distinct = lambda places: F.size(F.array_distinct(F.transform(places, lambda p: p["rank"])))
-    # A run and a block of lines begin at a word of the template; the latter at the first of a line.
+    # A run begins at a word of the template.
     runs = F.transform(own, lambda p, i: distinct(F.filter(F.slice(own, i + 1, F.col("run")), lambda q: q["at"] < p["at"] + F.col("run"))))
-    height = F.when(F.col("need") >= LONG_NOTICE, WINDOW).otherwise(1)
-    heads = F.array_distinct(F.transform(own, lambda p: p["line"]))
-    lines = F.transform(heads, lambda head: distinct(F.filter(own, lambda q: (q["line"] >= head) & (q["line"] < head + height))))
+    lines = F.transform(F.array_distinct(F.transform(own, lambda p: p["line"])), lambda line: distinct(F.filter(own, lambda q: q["line"] == line)))
     return F.when(n > 0, F.array_max(F.concat(runs, lines))).otherwise(F.lit(0))
 
 

@@ -53,16 +53,16 @@ def license_scan() -> str:
     values = []
     for label, notice in licenses.TEMPLATES:
         tokens = sorted(set(licenses.words_of(notice)))
-        values.append(f"('{label}', [{', '.join(map(_quoted, tokens))}], {math.ceil(round(licenses.THRESHOLD * len(tokens), 9))})")
+        values.append(f"('{label}', [{', '.join(map(_quoted, tokens))}], {math.ceil(round(licenses.THRESHOLD * len(tokens), 9))}, {int(licenses.SPREAD * len(licenses.words_of(notice)))})")
     return (
-        f"WITH templates(label, tokens, need) AS (VALUES {', '.join(values)}), "
+        f"WITH templates(label, tokens, need, run) AS (VALUES {', '.join(values)}), "
         "texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
-        f"found AS (SELECT doc_id, len(w) AS n_words, {places} AS places FROM (SELECT doc_id, {words('text')} AS w FROM texts)), "
-        "lines AS (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\r\\n]') AS l FROM texts), "
-        "blocks AS (SELECT doc_id, unnest(l) AS b, 0 AS floor FROM lines UNION ALL SELECT doc_id, unnest([array_to_string(l[i : i + "
-        f"{licenses.WINDOW - 1}], ' ') FOR i IN range(1, len(l) + 1)]), {licenses.LONG_NOTICE} FROM lines WHERE len(l) > 1), "
-        f"sets AS (SELECT doc_id, floor, list_distinct({words('b')}) AS s FROM blocks), "
-        "matched AS (SELECT doc_id, label, len(list_intersect(s, tokens)) / len(tokens) AS held FROM sets JOIN templates ON need >= floor AND len(list_intersect(s, tokens)) >= need), "
+        f"split AS MATERIALIZED (SELECT doc_id, {words('text')} AS w, string_split_regex(text, '\\r\\n|[\\r\\n]') AS l FROM texts), "
+        f"found AS (SELECT doc_id, len(w) AS n_words, {places} AS places FROM split), "
+        "likely AS MATERIALIZED (SELECT doc_id, w, l, label, tokens, need, run FROM split JOIN templates ON len(list_intersect(list_distinct(w), tokens)) >= need), "
+        "sets AS (SELECT doc_id, label, tokens, need, unnest([list_distinct(w[i : i + run - 1]) FOR i IN range(1, len(w) + 1) IF list_contains(tokens, w[i])]) AS s FROM likely "
+        f"UNION ALL SELECT doc_id, label, tokens, need, list_distinct({words('b')}) FROM (SELECT doc_id, label, tokens, need, unnest(l) AS b FROM likely)), "
+        "matched AS (SELECT doc_id, label, len(list_intersect(s, tokens)) / len(tokens) AS held FROM sets WHERE len(list_intersect(s, tokens)) >= need), "
         "best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(held) AS held FROM matched GROUP BY doc_id), "
         "named AS (SELECT *, list_distinct([p.label FOR p IN places]) AS base FROM found) "
         "SELECT n.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min([p.k FOR p IN places]) - 1 AS BIGINT) AS first_word, "
@@ -77,29 +77,33 @@ def url_filter() -> str:
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, _, r in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v, _ in fits) + " END"
     margin = math.log(2 / urls.CONFIDENCE) / 2
-    steps = []
+    share = lambda level: (f"(SELECT host, template, (sum(bad) + {urls.PSEUDO} * min(share)) / (sum(good) + sum(bad) + {urls.PSEUDO}) AS own FROM {level} GROUP BY 1, 2)")
+    steps = [f"s0 AS MATERIALIZED {share('l0')}"]
     for d in range(urls.DEPTH):
-        here = f"l{d}"
-        steps.append(f"b{d} AS (SELECT host, template, form[{d + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM {here} WHERE len(form) > {d} GROUP BY 1, 2, 3)")
-        steps.append(f"n{d} AS (SELECT host, template, count(*) AS branches, sum(n) AS all_n, sum(good) AS all_good, sum(bad) AS all_bad FROM b{d} GROUP BY 1, 2)")
+        here = f"(SELECT l.* EXCLUDE (share), own AS share FROM l{d} l JOIN s{d} s USING (host, template) WHERE len(form) > {d})"
+        steps.append(f"h{d} AS MATERIALIZED {here}")
+        steps.append(f"b{d} AS MATERIALIZED (SELECT host, template, form[{d + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(bad) AS bad FROM h{d} GROUP BY 1, 2, 3)")
+        steps.append(f"n{d} AS MATERIALIZED (SELECT host, template, count(*) AS branches, sum(n) AS all_n, sum(good) AS all_good, sum(bad) AS all_bad FROM b{d} GROUP BY 1, 2)")
         mine, other = "(good + bad)", "(all_good + all_bad - good - bad)"
         steps.append(
-            f"m{d} AS (SELECT host, template, seg FROM b{d} JOIN n{d} USING (host, template) WHERE (branches > {urls.BRANCHES} AND branches > {urls.VARIETY} * all_n) OR "
+            f"m{d} AS MATERIALIZED (SELECT host, template, seg FROM b{d} JOIN n{d} USING (host, template) WHERE (branches > {urls.BRANCHES} AND branches > {urls.VARIETY} * all_n) OR "
             f"CASE WHEN least({mine}, {other}) >= {urls.LEAST_LABELLED} THEN abs(bad / {mine} - (all_bad - bad) / {other}) <= sqrt({margin} / {mine}) + sqrt({margin} / {other}) ELSE false END)")
         steps.append(
-            f"l{d + 1} AS (SELECT l.host, l.form, l.n, l.good, l.bad, CASE WHEN len(l.form) <= {d} THEN l.template ELSE l.template || [CASE WHEN m.seg IS NULL THEN l.form[{d + 1}] ELSE '*' END] END "
-            f"AS template FROM {here} l LEFT JOIN m{d} m ON m.host = l.host AND m.template = l.template AND m.seg = l.form[{d + 1}])")
+            f"l{d + 1} AS MATERIALIZED (SELECT l.host, l.form, l.n, l.good, l.bad, l.template || [CASE WHEN m.seg IS NULL THEN l.form[{d + 1}] ELSE '*' END] AS template, l.share "
+            f"FROM h{d} l LEFT JOIN m{d} m ON m.host = l.host AND m.template = l.template AND m.seg = l.form[{d + 1}])")
+        steps.append(f"s{d + 1} AS MATERIALIZED {share(f'l{d + 1}')}")
+    ends = " UNION ALL ".join(f"SELECT host, form, template, own AS bad_share FROM l{d} JOIN s{d} USING (host, template) WHERE len(form) = {d}" for d in range(1, urls.DEPTH + 1))
     form = "string_split(regexp_replace(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{16,}', '{x}', 'g'), '[0-9]+', '{n}', 'g'), '^/', ''), '/')"
     deep = f"CASE WHEN len(f) <= {urls.DEPTH} THEN f ELSE f[1 : {urls.DEPTH - 1}] || [array_to_string(f[{urls.DEPTH} : len(f)], '/')] END"
     return (
         f"WITH split AS (SELECT page_id, {_lower(chr(34) + 'h' + chr(34))} AS host, path FROM (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h, "
         "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)), "
         f"ruled AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled, {deep} AS form FROM (SELECT *, {form} AS f FROM split)), "
-        "l0 AS (SELECT host, form, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad, CAST([] AS VARCHAR[]) AS template FROM ruled GROUP BY 1, 2), "
+        "l0 AS MATERIALIZED (SELECT host, form, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad, CAST([] AS VARCHAR[]) AS template, CAST(" + str(urls.PRIOR) + " AS DOUBLE) AS share FROM ruled GROUP BY 1, 2), "
         + ", ".join(steps)
-        + f", share AS (SELECT host, template, (sum(bad) + {urls.PSEUDO * urls.PRIOR}) / (sum(good) + sum(bad) + {urls.PSEUDO}) AS bad_share FROM l{urls.DEPTH} GROUP BY 1, 2) "
+        + f", ends AS MATERIALIZED ({ends}) "
         f"SELECT page_id, r.host, r.path, rule, coalesce(ruled, CASE WHEN bad_share >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(l.template, '/') AS template, "
-        f"bad_share FROM ruled r JOIN l{urls.DEPTH} l ON l.host = r.host AND l.form = r.form JOIN share s ON s.host = l.host AND s.template = l.template")
+        "bad_share FROM ruled r JOIN ends l ON l.host = r.host AND l.form = r.form")
 
 
 def near_duplicates(size: int = 3, percent: int = 85) -> str:

@@ -7,11 +7,13 @@ Method
     for its urls; else branches whose labelled bad shares do not differ by more than a Hoeffding
     bound from that of their siblings together are merged into the wildcard. A template - a path of
     fixed and wildcard segments - is rejected if the share of bad among its labelled urls, smoothed
-    towards a prior, reaches ``REJECT``. A template without labelled urls keeps the prior and is
-    allowed. Urls that no rule fits get the verdict of their template.
+    towards that of the template above it, reaches ``REJECT``; a host's own share is smoothed towards
+    ``PRIOR``. So a template without labelled urls is judged by the nearest one above that has some, and
+    a host without any is allowed. Urls that no rule fits get the verdict of their template.
 
-Only counts by (host, form) are shuffled, pre-aggregated. The tree is as deep as the paths, at
-most ``DEPTH`` segments; a longer path's remaining segments count as one, so every url is judged.
+Only counts by (host, form) are shuffled, pre-aggregated. The tree is as deep as the paths; in a path of
+more than ``DEPTH`` segments - a trap for crawlers rather than a place - those that remain
+are one segment of the tree, so every url is judged and the number of levels is bounded.
 
 Defined results: a null url or one without "://" has an empty host and path and belongs to the
 root template of host ""; a null id is carried along; repeated rows count and appear as often as
@@ -36,7 +38,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: Deepest level of a tree.
-DEPTH = 8
+DEPTH = 32
 #: A node's branches are variable if there are more than so many, and more than this share of its urls.
 BRANCHES, VARIETY = 16, 0.2
 #: Confidence of the merge test; labelled urls that a branch needs to take part in it.
@@ -76,16 +78,24 @@ def form_of(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth - 1), F.array(rest)))
 
 
+def _shares(level: DataFrame) -> DataFrame:
+    """``level`` with ``bad_share`` - until here the one above - smoothed by each node's labelled urls."""
+    bad, labelled = F.sum("bad"), F.sum("good") + F.sum("bad")
+    own = level.groupBy("host", "template").agg(((bad + PSEUDO * F.min("bad_share")) / (labelled + PSEUDO)).alias("own_share"))
+    return level.join(own, ["host", "template"]).withColumn("bad_share", F.col("own_share")).drop("own_share")
+
+
 def templates(forms: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``forms`` (host, form, n, good, bad) with ``template``, the array of its segments or wildcards."""
+    """``forms`` (host, form, n, good, bad) with ``template``, the array of its segments or wildcards,
+    and the template's smoothed share of bad urls."""
     deepest = forms.agg(F.max(F.size("form"))).first()[0] or 0
-    level = forms.withColumn("template", F.array().cast("array<string>"))
+    level = _shares(forms.select("host", "form", "n", "good", "bad", F.array().cast("array<string>").alias("template"), F.lit(PRIOR).alias("bad_share")))
+    ended = None
     margin = math.log(2 / CONFIDENCE) / 2
     for d in range(min(depth, deepest)):
         # One row for each branch, then one for each node. A hot node's urls are summed before they are shuffled.
-        segment = F.try_element_at("form", F.lit(d + 1))
-        level = level.withColumn("segment", segment)
-        branches = level.where("segment is not null").groupBy("host", "template", "segment").agg(
+        level = level.withColumn("segment", F.try_element_at("form", F.lit(d + 1)))
+        branches = level.groupBy("host", "template", "segment").agg(
             F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         nodes = branches.groupBy("host", "template").agg(
             F.count("*").alias("branches"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
@@ -96,11 +106,12 @@ def templates(forms: DataFrame, depth: int = DEPTH) -> DataFrame:
         merged = (branches.join(nodes, ["host", "template"]).where(variable | similar)
                   .select("host", "template", "segment", F.lit(_WILD).alias("merged")))
         level = level.join(merged, ["host", "template", "segment"], "left").select(
-            "host", "form", "n", "good", "bad",
-            F.when(F.col("segment").isNull(), F.col("template"))
-            .otherwise(F.concat("template", F.array(F.coalesce("merged", "segment")))).alias("template"))
-        level = materialise(level, f"urls{d}")
-    return level
+            "host", "form", "n", "good", "bad", F.concat("template", F.array(F.coalesce("merged", "segment"))).alias("template"), "bad_share")
+        level = materialise(_shares(level), f"urls{d}")
+        done = level.where(F.size("form") == d + 1)
+        ended = done if ended is None else ended.unionByName(done)
+        level = level.where(F.size("form") > d + 1)
+    return level if ended is None else ended
 
 
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, depth: int = DEPTH) -> DataFrame:
@@ -112,9 +123,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     forms = ruled.groupBy("host", "form").agg(F.count("*").alias("n"), F.coalesce(count("allow"), F.lit(0)).alias("good"),
                                               F.coalesce(count("block"), F.lit(0)).alias("bad"))
     placed = templates(materialise(forms, "urls"), depth)
-    bad, labelled = F.sum("bad"), F.sum("good") + F.sum("bad")
-    purity = placed.groupBy("host", "template").agg(((bad + PSEUDO * PRIOR) / (labelled + PSEUDO)).alias("bad_share"))
-    known = placed.join(purity, ["host", "template"]).select("host", "form", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_share")
+    known = placed.select("host", "form", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_share")
     own = F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow")
     return ruled.join(known, ["host", "form"], "left").select(
         "page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce(F.col("ruled.verdict"), own).alias("verdict"), "template", "bad_share")

@@ -74,14 +74,14 @@ def test_licenses(spark):
         r = rows[i]
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(sorted({label for _, label in places})))
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        lines = re.split("\r\n|[\r\n]", t)
-        blocks = [(set(word.findall(x.translate(ASCII))), 0) for x in lines]
-        blocks += [(set(word.findall(" ".join(lines[k : k + licenses.WINDOW]).translate(ASCII))), licenses.LONG_NOTICE) for k in range(len(lines))]
+        lines = [set(word.findall(x.translate(ASCII))) for x in re.split("\r\n|[\r\n]", t)]
         found = set()
         for label, notice in licenses.TEMPLATES:
-            tokens = set(licenses.words_of(notice))
+            own = licenses.words_of(notice)
+            tokens = set(own)
             need = math.ceil(round(licenses.THRESHOLD * len(tokens), 9))
-            if any(len(b & tokens) >= need and need >= floor for b, floor in blocks):
+            runs = [set(w[k : k + 2 * len(own)]) for k in range(len(w))]
+            if any(len(b & tokens) >= need for b in lines + runs):
                 found.add(label)
         assert set(filter(None, r["labels"].split(","))) == found | {label for _, label in places}
     assert "mit" in rows[150]["labels"]
@@ -329,14 +329,14 @@ def test_url_tree(spark):
                 if similar or len(branches) > urls.BRANCHES and len(branches) > urls.VARIETY * n:
                     merged.add((*node, seg))
         place = {(h, f): (*t, "*" if (h, t, f[d]) in merged else f[d]) for (h, f), t in place.items()}
-    share = {}
-    for (h, f), t in place.items():
-        s = share.setdefault((h, t), [0, 0])
-        s[0] += counts[h, f][2]
-        s[1] += counts[h, f][1] + counts[h, f][2]
+    def share(h, t):
+        """A template's bad share, smoothed towards the one above it."""
+        inside = [counts[k] for k, own in place.items() if k[0] == h and own[: len(t)] == t]
+        above = share(h, t[:-1]) if t else urls.PRIOR
+        return (sum(c[2] for c in inside) + urls.PSEUDO * above) / (sum(c[1] + c[2] for c in inside) + urls.PSEUDO)
+
     for r in rows.values():
         t = place[r["host"], tuple(re.sub("[0-9]+", "{n}", r["path"])[1:].split("/"))]
-        bad, labelled = share[r["host"], t]
-        assert r["template"] == "/" + "/".join(t) and r["bad_share"] == pytest.approx((bad + urls.PSEUDO * urls.PRIOR) / (labelled + urls.PSEUDO))
+        assert r["template"] == "/" + "/".join(t) and r["bad_share"] == pytest.approx(share(r["host"], t))
         if r["rule"] is None:
             assert r["verdict"] == ("block" if r["bad_share"] >= urls.REJECT else "allow")
