@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -49,8 +50,8 @@ def predicate(e: Expr, value: Column, bound: dict[str, Column] | None = None) ->
             raise DocumentError("wrong-input", "?fulltext takes one text", data=e)
         words = tokens(value)
         out = F.lit(True)
-        for word in wanted[0].lower().split():
-            out = out & F.array_contains(words, word)
+        for word in re.split(r"[\W_]+", wanted[0].lower()):  # letters and digits of any script, as in tokens()
+            out = out & F.array_contains(words, word) if word else out
         return out
     if e.head not in FUNCTIONS:
         raise DocumentError("wrong-input", f"unknown function {e.head}", data=e)

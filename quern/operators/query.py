@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.plans.compile import Compiler, datalog, run_datalog
 from quern.plans.normalise import Context, Entity, Normaliser
-from quern.plans.pull import Puller, complete, plain
+from quern.plans.pull import YIELD_DEPTH, Puller, complete, plain
 from quern.plans.schema import Schema
 from quern.sources.base import Source
 from quern.sources.log import cut
@@ -19,7 +19,22 @@ from quern.terms import ANY, DocumentError
 
 #: Keys of a call that are no parameters of pipeline functions.
 FLAGS = ("ids", "blank", "ban_expressions", "ban_ids", "ban_top_id", "ban_body_ids", "ban_underscores", "schema_required", "schema_restrict",
-         "schema_defaults", "use_typecheck", "use_coerce", "skip_pack", "skip_typesafety", "no_alias_gen")
+         "schema_defaults", "use_typecheck", "use_coerce", "skip_normalise", "skip_pack", "skip_typesafety", "no_alias_gen", "generate_ids", "generate_syms",
+         "pipeline_typecheck", "pipeline_coerce")
+
+
+@dataclass
+class Record:
+    """All that a call made of its document, for inspection: nothing is run but the DataFrames, when they are read."""
+
+    op: str
+    given: Any
+    context: Context
+    entities: list[Entity]
+    patterns: list | None
+    model: dict | None
+    result: DataFrame
+    ids: dict[Any, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -100,7 +115,7 @@ class View:
         blank, with_ids = bool(ctx.options.get("blank")), bool(ctx.options.get("ids"))
         if what == "entities" or model is None:
             model = {} if blank and what == "data" else complete(dict.fromkeys(spaces, "checked"), ctx.schema)
-        puller = Puller(self._as_seen(ctx.schema), with_ids)
+        puller = Puller(self._as_seen(ctx.schema), with_ids, keys.get("yield_depth", YIELD_DEPTH), narrow=bool(keys.get("first")) or root is None or _selects(root))
         carrying = spaces[0] if root is not None and len(spaces) == 1 and spaces[0] in model else None
         if carrying:
             ids = Compiler(self.source).ids(root, puller.carried(carrying, model[carrying]))
@@ -120,14 +135,17 @@ class View:
     def select(self, query: Any, **given: Any) -> Any:
         """A document query as a DataFrame: a struct column for each namespace, one row for each
         distinct document. ``returns``: "data", "ids" or "entities". ``first``: only the entity of the
-        smallest id. ``raw``: the compiled patterns instead."""
+        smallest id. ``raw``: the compiled patterns instead. ``record``: a Record of all steps; it wins
+        over ``raw``. ``yield_depth``: levels to which "yield" is followed."""
         ctx, keys, model = self._call("select", False, given)
-        if keys.get("raw"):
-            return [datalog(e, ctx.schema) for e in self._queries(query, ctx)[0]]
+        patterns = lambda entities: [datalog(e, ctx.schema, generate=ctx.options.get("generate_syms")) for e in entities]
+        if keys.get("raw") and not keys.get("record"):
+            return patterns(self._queries(query, ctx)[0])
         view = self._at(keys)
         entities, known = view._queries(query, ctx)
         ids, spaces = view._found(entities, known, ctx)
-        return view._shaped(ids, spaces, ctx, keys, model, entities[0] if len(entities) == 1 and not known else None)
+        out = view._shaped(ids, spaces, ctx, keys, model, entities[0] if len(entities) == 1 and not known else None)
+        return Record("select", query, ctx, entities, patterns(entities), model, out) if keys.get("record") else out
 
     def query(self, patterns: list, inputs: list | None = None, **given: Any) -> DataFrame:
         """Raw find-where patterns; the first find variable is the entity."""
@@ -189,6 +207,11 @@ class View:
             seen = seen.union(new)
 
 
+def _selects(root: Entity) -> bool:
+    """Whether a query asks for more than that something is there."""
+    return root.id is not None or any(v != ANY and not (isinstance(v, Entity) and not _selects(v)) for values in root.values.values() for v in values)
+
+
 def nested_merge(a: Any, b: Any) -> Any:
     """Call keys over defaults: dicts are merged, anything else is replaced."""
     if isinstance(a, dict) and isinstance(b, dict):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
@@ -11,12 +12,14 @@ from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.predicates import predicate
-from quern.operators.query import View
+from quern.operators.query import Record, View
 from quern.plans.compile import Compiler
 from quern.plans.normalise import Entity, Normaliser, many, nested
 from quern.plans.pull import complete, plain
@@ -24,10 +27,13 @@ from quern.plans.schema import SPARK_TYPES, Attribute, Schema
 from quern.sources.log import COLUMN, FACTS, FIRST_TX, VALUES, Facts, Log, cut, fact_row
 from quern.terms import ANY, HOLE, DocumentError, Expr, TempId, Var, expression
 
-_POOL = ThreadPoolExecutor(4)
+#: Asynchronous commits of a store wait in one line, by path.
+_LINES: dict[str, ThreadPoolExecutor] = {}
+#: How often a commit is tried on top of what others have committed meanwhile.
+ATTEMPTS = 20
 
-#: Functions of a write: name -> function of the current value (None if there is none) and the arguments.
-WRITE_FUNCTIONS: dict[str, Any] = {"inc": lambda v, by=1: (v or 0) + by, "dec": lambda v, by=1: (v or 0) - by}
+#: Functions of a write: name -> function of the column of current values (null where there is none) and the arguments.
+WRITE_FUNCTIONS: dict[str, Any] = {"inc": lambda v, by=1: F.coalesce(v, F.lit(0)) + by, "dec": lambda v, by=1: F.coalesce(v, F.lit(0)) - by}
 
 
 @dataclass
@@ -54,23 +60,46 @@ class Commit:
 
 @dataclass
 class Draft:
-    """Facts that are not written yet."""
+    """Facts that are not written yet. New ids are counted from ``base``, the first one that was free
+    when the draft began; if others have taken some since, the draft is moved."""
 
     frames: list[DataFrame] = field(default_factory=list)
     rows: list[tuple] = field(default_factory=list)
     ids: dict[Any, int] = field(default_factory=dict)
+    base: int | None = None
     used: int = 0
     unique: list[tuple[Attribute, Any, int]] = field(default_factory=list)
+    unique_frames: list[tuple[Attribute, DataFrame]] = field(default_factory=list)  # each of (e, v)
+    known: dict[tuple[str, Any], int] = field(default_factory=dict)  # entities by the values of identities
 
     def facts(self, spark: SparkSession) -> DataFrame:
         return reduce(DataFrame.unionByName, self.frames + ([spark.createDataFrame(self.rows, FACTS)] if self.rows or not self.frames else []))
 
+    def moved(self, base: int, refs: list[str]) -> Draft:
+        """The same draft with its new ids counted from another base."""
+        if not self.used or base == self.base:
+            return self
+        own = range(self.base, self.base + self.used)
+        at, l = FACTS.names.index("a"), FACTS.names.index("l")
+        new = lambda x: x - self.base + base if isinstance(x, int) and x in own else x
+        rows = [tuple(new(x) if i == 0 or i == l and row[at] in refs else x for i, x in enumerate(row)) for row in self.rows]
+        shift = lambda c: self.shifted(c, base)
+        frames = [f.withColumns({"e": shift(F.col("e")), "l": F.when(F.col("a").isin(refs), shift(F.col("l"))).otherwise(F.col("l"))}) for f in self.frames]
+        value = lambda a, v: new(v) if a.type == "ref" else v
+        column = lambda a: shift(F.col("v")) if a.type == "ref" else F.col("v")
+        return Draft(frames, rows, {k: new(v) for k, v in self.ids.items()}, base, self.used, [(a, value(a, v), new(e)) for a, v, e in self.unique],
+                     [(a, f.withColumns({"e": shift(F.col("e")), "v": column(a)})) for a, f in self.unique_frames], {k: new(v) for k, v in self.known.items()})
+
+    def shifted(self, ids: Column, base: int) -> Column:
+        return F.when(ids.between(self.base, self.base + self.used - 1), ids + (base - self.base)).otherwise(ids) if self.used else ids
+
 
 class Store(View):
     """A store on a folder. Use ``Store.open``. A snapshot of it is a store, too, with ``tx`` fixed."""
 
-    def __init__(self, spark: SparkSession, log: Log, schema: Schema, defaults: dict | None = None, tx: int | None = None, extra: DataFrame | None = None):
-        self.spark, self.log, self._schema, self.fixed, self.extra = spark, log, schema, tx, extra
+    def __init__(self, spark: SparkSession, log: Log, schema: Schema, defaults: dict | None = None, tx: int | None = None, extra: DataFrame | None = None, steps: int = 0):
+        # ``extra`` are the facts of so many simulated changes.
+        self.spark, self.log, self._schema, self.fixed, self.extra, self.steps = spark, log, schema, tx, extra, steps
         self.defaults = defaults or {}
         self._draft: Draft | None = None
 
@@ -101,17 +130,19 @@ class Store(View):
 
     @property
     def source(self) -> Facts:
-        facts = self.log.facts(self.tx)
+        return self._facts()
+
+    def _facts(self, history: bool = False) -> Facts:
+        facts = self.log.facts(self.tx, history)
         return Facts(self._schema, facts.unionByName(self.extra) if self.extra is not None else facts)
 
     def snapshot(self, at: int | datetime | None = None) -> Store:
         """The store as of a transaction or an instant, or as it is now."""
         if isinstance(at, datetime):
             at = at if at.tzinfo else at.replace(tzinfo=UTC)
-            times = self.log.manifest()[1]["times"]
-            at = max((int(t) for t, when in times.items() if datetime.fromisoformat(when) <= at), default=FIRST_TX)
+            at = max((t for t, when in self.log.times().items() if when <= at), default=FIRST_TX)
         tx = self.tx if at is None else at
-        return Store(self.spark, self.log, self._schema, self.defaults, tx, self.extra)
+        return Store(self.spark, self.log, self._schema, self.defaults, tx, self.extra, self.steps)
 
     def _at(self, keys: dict[str, Any]) -> Store:
         store = keys.get("db") or keys.get("connection") or self
@@ -131,17 +162,21 @@ class Store(View):
     def transactions(self, ident: str, value: Any = None) -> list[int]:
         """Numbers of the transactions that touched an attribute (with a value), in order."""
         a = self.schema.flat[self.schema.lookup[ident]]
-        facts = self.source.facts.where(F.col("a") == a.ident)
+        facts = self._facts(history=True).facts.where(F.col("a") == a.ident)
         if value is not None:
             facts = facts.where(F.col(COLUMN[a.type]) == F.lit(value))
         return [r["tx"] for r in facts.select("tx").distinct().orderBy("tx").collect()]
 
     def history(self) -> DataFrame:
         """All facts, retractions included."""
-        return self.source.facts
+        return self._facts(history=True).facts
+
+    def compact(self) -> None:
+        """Put the log's folders together and keep the state, so that reads start from it."""
+        self.log.compact(self._schema)
 
     def transaction_time(self, tx: int) -> datetime:
-        return datetime.fromisoformat(self.log.manifest()[1]["times"][str(tx)])
+        return self.log.times()[tx]
 
     def schema_properties(self) -> DataFrame:
         """ident, type, cardinality of the stored attributes."""
@@ -158,27 +193,58 @@ class Store(View):
         if keys.get("raw"):
             return entities
         draft = self._draft or Draft()
-        roots = [self._emit(e, draft) for e in entities]
+        self._look_up(entities, draft)
+        roots = [self._emit(e, draft, generate=ctx.options.get("generate_ids")) for e in entities]
+        if keys.get("record"):
+            return Record("insert", docs, ctx, entities, None, None, draft.facts(self.spark), draft.ids)
         return self._finish(draft, keys, self.spark.createDataFrame([(r,) for r in roots], "eid bigint"))
 
     def _set_flags(self, given: dict) -> dict:
         return {k: v for k, v in (self.defaults.get("options") or {}).items() if k.startswith("schema_")}
 
-    def _base(self) -> tuple[int, dict]:
-        return self.log.manifest()
+    def _base(self) -> int:
+        """The first free id."""
+        return self.log.manifest()[1]["next"]
 
-    def _new_id(self, draft: Draft, key: Any = None) -> int:
+    def _new_id(self, draft: Draft, key: Any = None, generate: Any = None) -> int:
         if key is not None and key in draft.ids:
             return draft.ids[key]
-        out = self._base()[1]["next"] + draft.used
-        draft.used += 1
+        if generate is False:
+            raise DocumentError("wrong-input", "an entity without an id, and generate_ids is off")
+        if callable(generate):  # ids of the caller's own
+            out = generate()
+        else:
+            draft.base = self._base() if draft.base is None else draft.base
+            out = draft.base + draft.used
+            draft.used += 1
         if key is not None:
             draft.ids[key] = out
         return out
 
-    def _emit(self, entity: Entity, draft: Draft, fixed: Any = None) -> Any:
+    def _look_up(self, entities: list[Entity], draft: Draft) -> None:
+        """The known entities among those that identities name, with one query for each identity."""
+        wanted: dict[str, set] = {}
+
+        def walk(entity: Entity) -> None:
+            for ident, values in entity.values.items():
+                plain_values = [v for v in values if not isinstance(v, (Entity, Expr, Var, TempId))]
+                if self.schema.flat[ident].unique == "identity":
+                    wanted.setdefault(ident, set()).update(plain_values)
+                for v in values:
+                    if isinstance(v, Entity):
+                        walk(v)
+
+        for entity in entities:
+            walk(entity)
+        for ident, values in wanted.items():
+            values = [v for v in values if (ident, v) not in draft.known]
+            if values:
+                found = self.source.pairs(self.schema.flat[ident]).where(F.col("v").isin(values)).collect()
+                draft.known.update({(ident, r["v"]): r["e"] for r in found})
+
+    def _emit(self, entity: Entity, draft: Draft, fixed: Any = None, generate: Any = None) -> Any:
         """Facts for an entity and those below it; returns its id. ``fixed`` stands in for the root."""
-        e = fixed if fixed is not None else self._entity_id(entity, draft)
+        e = fixed if fixed is not None else self._entity_id(entity, draft, generate)
         if not entity.values and (entity.id is None or fixed is not None):
             raise DocumentError("empty-entity", "an entity without values")
         for ident, values in entity.values.items():
@@ -187,9 +253,9 @@ class Store(View):
                 if isinstance(v, Expr):
                     v = self._applied(e, a, v)
                 if isinstance(v, Entity):
-                    v = self._emit(v, draft)
+                    v = self._emit(v, draft, generate=generate)
                 elif isinstance(v, (TempId, Var)):
-                    v = self._new_id(draft, v.seed if isinstance(v, TempId) else v.name)
+                    v = self._new_id(draft, v.seed if isinstance(v, TempId) else v.name, generate)
                 if a.link and a.link.reverse:
                     draft.rows.append(fact_row(v, self.schema.flat[a.link.key], e))
                 else:
@@ -198,26 +264,33 @@ class Store(View):
                         draft.unique.append((a, v, e))
         return e
 
-    def _entity_id(self, entity: Entity, draft: Draft) -> int:
+    def _entity_id(self, entity: Entity, draft: Draft, generate: Any = None) -> int:
         if isinstance(entity.id, int):
             return entity.id
         if entity.id is not None:
-            return self._new_id(draft, entity.id.seed if isinstance(entity.id, TempId) else entity.id.name)
-        for ident, values in entity.values.items():  # an identity that is known names the entity
-            a = self.schema.flat[ident]
-            if a.unique == "identity":
-                known = self.source.pairs(a).where(F.col("v") == F.lit(values[0])).select("e").limit(1).collect()
-                if known:
-                    return known[0]["e"]
-        return self._new_id(draft)
+            return self._new_id(draft, entity.id.seed if isinstance(entity.id, TempId) else entity.id.name, generate)
+        # An identity that is known, from the store or from this change, names the entity.
+        keys = [(i, values[0]) for i, values in entity.values.items() if self.schema.flat[i].unique == "identity" and not isinstance(values[0], Expr)]
+        found = next((draft.known[k] for k in keys if k in draft.known), None)
+        e = self._new_id(draft, generate=generate) if found is None else found
+        draft.known.update(dict.fromkeys(keys, e))
+        return e
 
-    def _applied(self, e: Any, a: Attribute, v: Expr) -> Any:
+    def _written(self, a: Attribute, v: Expr, ids: DataFrame) -> DataFrame:
+        """(e, v): a write function's value for every one of the ids."""
         if v.head not in WRITE_FUNCTIONS:
             raise DocumentError("wrong-input", f"unknown write function {v.head}", data=v)
-        if not isinstance(e, int):
-            raise DocumentError("wrong-input", "a write function needs one entity", data=v)
-        now = self.source.pairs(a).where(F.col("e") == e).limit(1).collect()
-        return WRITE_FUNCTIONS[v.head](now[0]["v"] if now else None, *(x for x in v.args if x != HOLE))
+        if a.many or a.type == "ref":
+            raise DocumentError("wrong-input", f"a write function for {a.ident}, which has no single plain value", data=v)
+        value = WRITE_FUNCTIONS[v.head](F.col("v"), *(x for x in v.args if x != HOLE)).cast(SPARK_TYPES[a.type])
+        now = self.source.pairs(a).withColumnRenamed("e", "eid")
+        return ids.join(now, "eid", "left").select(F.col("eid").alias("e"), value.alias("v")).where("v is not null")
+
+    def _applied(self, e: Any, a: Attribute, v: Expr) -> Any:
+        found = self._written(a, v, self.spark.createDataFrame([(e,)], "eid bigint")).collect()
+        if not found:
+            raise DocumentError("wrong-input", f"{v.head} gives no value", data=v)
+        return found[0]["v"]
 
     def transact(self, facts: list[tuple], **given: Any) -> Any:
         """Raw facts: (e, attribute, value) to add, (e, attribute, value, False) to retract."""
@@ -226,35 +299,64 @@ class Store(View):
             e = self._new_id(draft, e.seed) if isinstance(e, TempId) else e
             value = self._new_id(draft, value.seed) if isinstance(value, TempId) else value
             draft.rows.append(fact_row(e, self.schema.flat[ident], value, *rest))
+            if self.schema.flat[ident].unique and (not rest or rest[0]):
+                draft.unique.append((self.schema.flat[ident], value, e))
         return self._finish(draft, given, self.spark.createDataFrame([(r[0],) for r in draft.rows], "eid bigint").distinct())
 
     def insert_frame(self, ns: str, frame: DataFrame, **given: Any) -> Any:
-        """Rows as entities: each column whose name is an attribute of ``ns``. Defaults, required
-        attributes and uniqueness are checked by whole columns. Array columns are sets."""
+        """Rows as entities: each column whose name is an attribute of ``ns``; array columns are sets.
+        Types, enumerations, restrictions, defaults, required and unique attributes are those of
+        ``insert``, by whole columns; an identity that is known names its entity. Other columns are ignored."""
         own = {a.name: a for a in self.schema.stored() if a.ns == ns}
         columns: dict[str, Column] = {}
+        wrong: dict[str, tuple[str, Column]] = {}  # what must not be, and its tag
         for name, a in own.items():
-            column = F.col(name) if name in frame.columns else F.lit(None).cast(f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type])
-            if a.default is not None and not callable(a.default):
-                column = F.coalesce(column, F.lit(a.default))
-            columns[name] = column.cast(f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type])
-        rows = cut(frame.select(*(c.alias(n) for n, c in columns.items())))
-        missing = [n for n, a in own.items() if a.required and rows.where(F.col(n).isNull()).limit(1).count()]
-        if missing:
-            raise DocumentError("required", f"The following keys are required: {missing}", keys=[f"{ns}/{n}" for n in missing])
-        numbered, count = _numbered(rows)
+            kind = f"array<{SPARK_TYPES[a.type]}>" if a.many else SPARK_TYPES[a.type]
+            raw = F.col(f"`{name}`") if name in frame.columns else F.lit(None).cast(kind)
+            if a.type in ("enum", "keyword"):
+                prefix = "^:?" + (f"(?:{re.escape(ns_)}/)?" if (ns_ := a.enum_ns or a.keyword_ns) else "")
+                bare = lambda c, prefix=prefix: F.regexp_replace(c.cast("string"), prefix, "")
+                raw = F.transform(raw, bare) if a.many else bare(raw)
+            column = raw.cast(kind) if a.many else raw.try_cast(kind)
+            if not a.many and name in frame.columns:
+                wrong[f"t_{name}"] = ("wrong-type", raw.isNotNull() & column.isNull())
+            if a.default is not None:
+                column = F.coalesce(column, _per_row(a.default, kind) if callable(a.default) else F.lit(a.default).cast(kind))
+            if a.values is not None:
+                outside = lambda c, a=a: ~c.isin(sorted(a.values))
+                wrong[f"e_{name}"] = ("wrong-input", F.exists(column, outside) if a.many else outside(column))
+            if a.restrict is not None:
+                wrong[f"r_{name}"] = ("failed-restriction", ~_passes(a.restrict, column))
+            if a.required:
+                wrong[f"m_{name}"] = ("required", column.isNull())
+            columns[name] = column
+        rows = cut(frame.select(*(c.alias(n) for n, c in columns.items()), *(c.alias(f"_{n}") for n, (_, c) in wrong.items())))
+        if wrong:
+            found = rows.agg(*(F.max(f"_{n}").alias(n) for n in wrong)).first()
+            bad = [n for n in wrong if found[n]]
+            if bad:
+                tag = wrong[bad[0]][0]
+                keys = [f"{ns}/{n[2:]}" for n in bad if wrong[n][0] == tag]
+                raise DocumentError(tag, f"rows that are not allowed, by {keys}", keys=keys, nsv=keys[0].split("/"))
+        rows = rows.select(*columns)
         draft = self._draft or Draft()
-        numbered = numbered.withColumn("e", F.lit(self._base()[1]["next"] + draft.used) + F.col("_rank"))
+        draft.base = self._base() if draft.base is None else draft.base
+        identity = next((a for a in own.values() if a.unique == "identity"), None)
+        entities = None
+        if identity is not None:  # rows whose identity is known are that entity
+            known = self.source.pairs(identity).select(F.col("e"), F.col("v").alias("_v"))
+            rows = cut(rows.join(known, rows[identity.name] == known["_v"], "left").drop("_v"))
+            entities, rows = rows.where("e is not null"), rows.where("e is null").drop("e")
+        numbered, count = _numbered(rows)
+        numbered = numbered.withColumn("e", F.lit(draft.base + draft.used) + F.col("_rank")).drop("_rank")
+        numbered = numbered if entities is None else numbered.unionByName(entities)
         draft.used += count
         for name, a in own.items():
             value = F.explode(name) if a.many else F.col(name)
-            facts = numbered.select("e", value.alias("v")).where("v is not null").select("e", F.lit(a.ident).alias("a"), *_value_columns(a, F.col("v")), F.lit(True).alias("added"))
+            pairs = numbered.select("e", value.alias("v")).where("v is not null")
+            draft.frames.append(pairs.select("e", F.lit(a.ident).alias("a"), *_value_columns(a, F.col("v")), F.lit(True).alias("added")))
             if a.unique:
-                old = self.source.pairs(a).select("v")
-                both = numbered.select(F.col(name).alias("v")).where("v is not null").union(old)
-                if both.groupBy("v").count().where("count > 1").limit(1).count():
-                    raise DocumentError("unique", f"{a.ident} has a value twice", nsv=a.ident.split("/"))
-            draft.frames.append(facts)
+                draft.unique_frames.append((a, pairs))
         return self._finish(draft, given, numbered.select(F.col("e").alias("eid")))
 
     def _matching(self, query: Any, op: str, given: dict) -> tuple[DataFrame, list[str], dict]:
@@ -272,22 +374,30 @@ class Store(View):
         given = {"schema_restrict": True, "schema_required": False, "schema_defaults": False} | given
         ctx, keys, _ = self._call("update", True, given)
         entity = Normaliser(ctx)(changes)
-        if any(isinstance(v, Expr) for vs in entity.values.values() for v in vs):
-            draft = self._draft or Draft()
-            for row in ids.collect():  # write functions read each entity's value
-                self._emit(entity, draft, fixed=row["eid"])
+        draft = self._draft or Draft()
+        for ident, values in list(entity.values.items()):
+            a = self.schema.flat[ident]
+            for v in [v for v in values if isinstance(v, Expr)]:  # one join for all entities
+                pairs = cut(self._written(a, v, ids))
+                draft.frames.append(pairs.select("e", F.lit(ident).alias("a"), *_value_columns(a, F.col("v")), F.lit(True).alias("added")))
+                if a.unique:
+                    draft.unique_frames.append((a, pairs))
+            entity.values[ident] = [v for v in values if not isinstance(v, Expr)]
+            if values and not entity.values[ident]:
+                del entity.values[ident]
+        if draft.frames and not entity.values:
             return self._finish(draft, keys, ids)
         # The change is written once with stand-ins, then put on every id by a join.
-        template = Draft()
+        template = Draft(base=_STAND_INS)
+        self._look_up([entity], template)
         self._emit(entity, template, fixed=-1)
-        base = self._base()[1]["next"]
         known = {v: k for k, v in template.ids.items()}
-        fresh = [base + i for i in range(template.used) if base + i not in known]
-        draft = self._draft or Draft()
+        fresh = [i for i in range(_STAND_INS, _STAND_INS + template.used) if i not in known]
         shared = {i: self._new_id(draft, known[i]) for i in known}
+        draft.base = self._base() if draft.base is None else draft.base
         place = {i: k for k, i in enumerate(fresh)}
         numbered, count = _numbered(ids)
-        start = base + draft.used
+        start = draft.base + draft.used
         draft.used += count * len(fresh)
         rows = [(place.get(r[0], -1), place.get(r[2 + VALUES.index("l")], -1) if COLUMN[self.schema.flat[r[1]].type] == "l" and self.schema.flat[r[1]].type == "ref" else -1,
                  shared.get(r[0], r[0]), *r[1:]) for r in template.rows]
@@ -435,7 +545,7 @@ class Store(View):
     @contextmanager
     def sync(self, **given: Any) -> Iterator[Store]:
         """Several changes against one snapshot, committed as one transaction at the end."""
-        held = Store(self.spark, self.log, self._schema, self.defaults, self.tx, self.extra)
+        held = Store(self.spark, self.log, self._schema, self.defaults, self.tx, self.extra, self.steps)
         held._draft = Draft()
         yield held
         draft, held._draft = held._draft, None
@@ -448,36 +558,79 @@ class Store(View):
             return draft
         how = keys.get("transact", "resolve")
         if how in ("async", "promise"):
-            return _POOL.submit(self._commit, draft, keys, changed, old)
+            line = _LINES.setdefault(self.log.path, ThreadPoolExecutor(1, thread_name_prefix="commit"))
+            return line.submit(self._commit, draft, keys, changed, old)
         if how not in ("resolve", "report"):
             raise DocumentError("wrong-input", f"transact {how!r}: resolve, report, promise or async")
         return self._commit(draft, keys, changed, old)
 
     def _commit(self, draft: Draft, keys: dict, changed: DataFrame, old_only: bool = False) -> Commit:
+        """Commit on top of the latest transaction. If another writer was faster, the new ids are
+        counted on from theirs, unique values are checked against what they wrote, and it is tried again."""
         target = keys.get("connection") or self
-        version, before = target.log.manifest()
-        if self.fixed is not None and self.fixed != before["tx"] and not keys.get("simulate"):
-            raise DocumentError("conflict", "a snapshot is not the latest state")
-        facts = draft.facts(self.spark)
-        self._check_unique(draft)
-        old = self.snapshot()
-        if keys.get("simulate"):
-            extra = facts.withColumn("tx", F.lit(before["tx"] + 1).cast("long")).select(*FACTS.names, "tx")
-            extra = extra if self.extra is None else self.extra.unionByName(extra)
-            return Commit(None, draft.ids, old, Store(self.spark, self.log, self._schema, self.defaults, old.tx, extra), changed, old_only)
-        tx = target.log.commit(version, before, facts.select(FACTS.names), draft.used)
-        return Commit(tx, draft.ids, old, target.snapshot(tx), changed, old_only)
-
-    def _check_unique(self, draft: Draft) -> None:
+        refs = [a.ident for a in self.schema.stored() if a.type == "ref"]
+        for _ in range(ATTEMPTS):
+            version, before = target.log.manifest()
+            if self.fixed is not None and self.fixed != before["tx"] and not keys.get("simulate"):
+                raise DocumentError("conflict", "a snapshot is not the latest state")
+            changed = changed.select(draft.shifted(F.col("eid"), before["next"]).alias("eid"))
+            draft = draft.moved(before["next"], refs)
+            facts = draft.facts(self.spark)
+            old = self.snapshot() if target is self and self.fixed is not None else target.snapshot(before["tx"])
+            self._check_unique(draft, old.source)
+            if keys.get("simulate"):
+                extra = facts.withColumn("tx", F.lit(old.tx + old.steps + 1).cast("long")).select(*FACTS.names, "tx")
+                extra = extra if old.extra is None else old.extra.unionByName(extra)
+                after = Store(self.spark, target.log, target._schema, target.defaults, old.tx, extra, old.steps + 1)
+                return Commit(None, draft.ids, old, after, changed, old_only)
+            try:
+                tx = target.log.commit(version, before, facts.select(FACTS.names), draft.used)
+            except DocumentError as error:
+                if "conflict" not in error.tags:
+                    raise
+                continue
+            return Commit(tx, draft.ids, old, target.snapshot(tx), changed, old_only)
+        raise DocumentError("conflict", f"other writers were faster {ATTEMPTS} times")
+
+    def _check_unique(self, draft: Draft, source: Facts) -> None:
         """No two entities may have a value of a unique attribute."""
         by: dict[str, dict[Any, int]] = {}
         for a, v, e in draft.unique:
             if by.setdefault(a.ident, {}).setdefault(v, e) != e:
                 raise DocumentError("unique", f"{a.ident} has the value {v!r} twice", nsv=a.ident.split("/"))
         for ident, values in by.items():
-            for row in self.source.pairs(self.schema.flat[ident]).where(F.col("v").isin(list(values))).collect():
+            for row in source.pairs(self.schema.flat[ident]).where(F.col("v").isin(list(values))).collect():
                 if values[row["v"]] != row["e"]:
                     raise DocumentError("unique", f"{ident} has the value {row['v']!r} already", nsv=ident.split("/"))
+        for a, pairs in draft.unique_frames:
+            both = pairs.select("e", "v").union(source.pairs(a).select("e", "v"))
+            twice = both.groupBy("v").agg(F.min("e").alias("a"), F.max("e").alias("b"), F.count("*").alias("n")).where("a < b").limit(1)
+            again = pairs.groupBy("v").count().where("count > 1").limit(1)  # two rows of one entity
+            if twice.select("v").union(again.select("v")).limit(1).count():
+                raise DocumentError("unique", f"{a.ident} has a value twice", nsv=a.ident.split("/"))
+
+
+#: Ids of a change that is put on many entities, before it is.
+_STAND_INS = -(1 << 40)
+
+
+def _passes(restrict: Any, column: Column) -> Column:
+    """Whether the values pass a restriction, which is a Python function; nulls do."""
+    test = restrict[1] if isinstance(restrict, (list, tuple)) else restrict
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v is None or bool(test(list(v) if isinstance(v, np.ndarray) else v))).astype(bool)
+
+    return F.when(column.isNull(), True).otherwise(F.pandas_udf(run, "boolean")(column))
+
+
+def _per_row(default: Any, kind: str) -> Column:
+    """A default that is made by a function, once for each row."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([default() for _ in rows])
+
+    return F.pandas_udf(run, kind)(F.monotonically_increasing_id())
 
 
 def _value_columns(a: Attribute, value: Column) -> list[Column]:

@@ -185,21 +185,25 @@ class Compiler:
         return Frame(df, frame.bound, left)
 
 
-def datalog(entity: Entity, schema: Schema, root: str = "self") -> list:
-    """The query as find-where patterns, for inspection: ``["find", "?self", "where", pattern ...]``."""
+def datalog(entity: Entity, schema: Schema, root: str = "self", generate: Callable[[], str] | bool | None = None) -> list:
+    """The query as find-where patterns, for inspection: ``["find", "?self", "where", pattern ...]``.
+    ``generate`` gives the names of variables; False: there are none, they are all "_"."""
     patterns: list = []
     names = itertools.count()
 
+    def fresh(stem: str) -> str:
+        return "_" if generate is False else f"?{generate()}" if callable(generate) else f"?{stem}{next(names)}"
+
     def walk(e: Entity, name: str) -> None:
         for ident, values in e.values.items():
             a = schema.flat[ident]
             for v in values:
                 if isinstance(v, Entity):
-                    inner = f"?{v.id.name}" if isinstance(v.id, Var) else v.id if isinstance(v.id, int) else f"?e{next(names)}"
+                    inner = f"?{v.id.name}" if isinstance(v.id, Var) else v.id if isinstance(v.id, int) else fresh("e")
                     patterns.append([inner, a.link.key, name] if a.link.reverse else [name, ident, inner])
                     walk(v, inner)
                 elif isinstance(v, Expr):
-                    own = f"?e_{next(names)}"
+                    own = fresh("e_")
                     patterns.append([name, ident, own])
                     patterns.append([[v.head, *(own if x == HOLE else f"?{x.name}" if isinstance(x, Var) else x for x in v.args)]])
                 elif a.link and a.link.reverse:

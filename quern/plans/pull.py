@@ -12,7 +12,7 @@ from quern.plans.schema import Attribute, Schema
 from quern.sources.base import Source
 from quern.terms import DocumentError
 
-#: Levels to which a "yield" is followed.
+#: Levels to which a "yield" is followed, unless a call says otherwise. What lies beyond is shown by its ids.
 YIELD_DEPTH = 6
 
 
@@ -59,8 +59,11 @@ def _leaf(rule: Any, a: Attribute, default: str, schema: Schema) -> Any:
 
 
 class Puller:
-    def __init__(self, source: Source, with_ids: bool = False, yield_depth: int = YIELD_DEPTH):
-        self.source, self.schema, self.with_ids, self.yield_depth = source, source.schema, with_ids, yield_depth
+    """``narrow``: the ids are a selection, so that references are cut down to those that it reaches, at
+    every level, before they are grouped."""
+
+    def __init__(self, source: Source, with_ids: bool = False, yield_depth: int = YIELD_DEPTH, narrow: bool = False):
+        self.source, self.schema, self.with_ids, self.yield_depth, self.narrow = source, source.schema, with_ids, yield_depth, narrow
 
     def carried(self, ns: str, branch: dict) -> list[Attribute]:
         """The single-valued stored attributes that the model takes from the namespace's own rows."""
@@ -89,14 +92,15 @@ class Puller:
         for ns, branch in model.items():
             if ns == carrying:
                 continue
-            inner = self.namespace(ns, branch, model, 0)
+            inner = self.namespace(ns, branch, model, 0, within=out)
             if inner is not None:
                 out = out.join(inner.select(F.col("eid").alias("_e"), F.col("doc").alias(ns)), F.col("eid") == F.col("_e"), "left").drop("_e")
         return out
 
-    def namespace(self, ns: str, branch: dict, top: dict, depth: int, path: str = "", base: DataFrame | None = None) -> DataFrame | None:
+    def namespace(self, ns: str, branch: dict, top: dict, depth: int, path: str = "", base: DataFrame | None = None,
+                  within: DataFrame | None = None) -> DataFrame | None:
         """(eid, doc) for every entity of the namespace - or those of ``base``, which has the columns
-        it needs - or None if the model keeps nothing of it."""
+        it needs, or those that are ``within`` some ids - or None if the model keeps nothing of it."""
         fields: list[tuple[str, Any]] = []  # name, and its attribute and rule, or an inner branch
         for key, rule in branch.items():
             if rule == "unchecked" or key == "+":
@@ -107,21 +111,26 @@ class Puller:
         single = [a for _, (a, rule) in fields if a is not None and not a.many and not a.link]
         stored_refs = [a for _, (a, rule) in fields if a is not None and a.link and not a.link.reverse and not a.many]
         df = self.source.wide(ns, single + stored_refs) if base is None else base
+        if base is None and within is not None and self.narrow:
+            df = df.join(within.select(F.col("eid").alias("_within")), F.col("eid") == F.col("_within"), "left_semi")
+        own = df  # the entities, before anything is joined to them
         columns: list[Column] = []
         for i, (key, (a, rule)) in enumerate(fields):
             name = f"_f{i}"
             if a is None:
-                inner = self.namespace(ns, rule, top, depth, "/".join(x for x in (path, key) if x), base)
+                inner = self.namespace(ns, rule, top, depth, "/".join(x for x in (path, key) if x), base, within)
                 if inner is None:
                     continue
                 df = self.joined(df, inner, F.col("eid"), name)
             elif not a.link and not a.many:
                 df = df.withColumn(name, F.col(f"`{a.ident}`"))
             elif not a.link:
-                sets = self.source.pairs(a).groupBy("e").agg(F.array_sort(F.collect_set("v")).alias("doc")).withColumnRenamed("e", "eid")
+                pairs = self.source.pairs(a)
+                pairs = pairs.join(own.select(F.col("eid").alias("e")), "e", "left_semi") if self.narrow else pairs
+                sets = pairs.groupBy("e").agg(F.array_sort(F.collect_set("v")).alias("doc")).withColumnRenamed("e", "eid")
                 df = self.joined(df, sets, F.col("eid"), name)
             else:
-                got = self.link(df, a, rule, top, depth, name)
+                got = self.link(df, own, a, rule, top, depth, name)
                 if got is None:
                     continue
                 df = got
@@ -129,7 +138,7 @@ class Puller:
         if self.with_ids and not path:
             columns.append(F.struct(F.struct(F.col("eid").alias("id")).alias("db")).alias("+"))
         for extra_ns, extra in (branch.get("+") or {}).items():
-            inner = self.namespace(extra_ns, extra, top, depth)
+            inner = self.namespace(extra_ns, extra, top, depth, within=own)
             if inner is not None:
                 df = self.joined(df, inner, F.col("eid"), f"_p{extra_ns}")
                 columns.append(F.struct(F.col(f"_p{extra_ns}").alias(extra_ns)).alias(f"+{extra_ns}"))
@@ -141,27 +150,40 @@ class Puller:
     def joined(df: DataFrame, inner: DataFrame, key: Column, name: str) -> DataFrame:
         return df.join(inner.select(F.col("eid").alias("_k"), F.col("doc").alias(name)), key == F.col("_k"), "left").drop("_k")
 
-    def link(self, df: DataFrame, a: Attribute, rule: Any, top: dict, depth: int, name: str) -> DataFrame | None:
+    def link(self, df: DataFrame, own: DataFrame, a: Attribute, rule: Any, top: dict, depth: int, name: str) -> DataFrame | None:
         forward_one = not a.link.reverse and not a.many and not a.link.mutual
         if rule == "id" and forward_one:
             return df.withColumn(name, F.col(f"`{a.ident}`"))
+        beyond = False
         if rule == "yield":
-            if depth >= self.yield_depth:
-                return None
-            rule, depth = top.get(a.link.ns, {}), depth + 1
-        child = None if rule == "id" else self.namespace(a.link.ns, rule, top, depth)
-        if rule != "id" and child is None:
-            return None
+            beyond = depth >= self.yield_depth
+            rule, depth = "id" if beyond else top.get(a.link.ns, {}), depth + 1
+
+        def marked(ids: Column) -> Column:
+            """The id of an entity that is not followed."""
+            return F.struct(F.struct(F.struct(ids.alias("id")).alias("db")).alias("+"))
+
+        if rule == "id" and forward_one:  # only beyond a yield
+            target = F.col(f"`{a.ident}`")
+            return df.withColumn(name, F.when(target.isNotNull(), marked(target)))
         if forward_one:
-            return self.joined(df, child, F.col(f"`{a.ident}`"), name)
+            target = own.select(F.col(f"`{a.ident}`").alias("eid")).where("eid is not null")
+            child = self.namespace(a.link.ns, rule, top, depth, within=target)
+            return None if child is None else self.joined(df, child, F.col(f"`{a.ident}`"), name)
         pairs = self.source.pairs(self.schema.flat[a.link.key])
         if a.link.mutual:
             pairs = pairs.union(pairs.select("v", "e")).toDF("e", "v").distinct()
         near, far = ("v", "e") if a.link.reverse else ("e", "v")
         edges = pairs.select(F.col(near).alias("eid"), F.col(far).alias("_far"))
-        if child is None:
-            sets = edges.groupBy("eid").agg(F.array_sort(F.collect_set("_far")).alias("doc"))
+        if self.narrow:
+            edges = edges.join(own.select(F.col("eid").alias("_near")), F.col("eid") == F.col("_near"), "left_semi")
+        if rule == "id":
+            shown = marked(F.col("_far")) if beyond else F.col("_far")
+            sets = edges.groupBy("eid").agg(F.array_sort(F.collect_set(shown)).alias("doc"))
         else:
+            child = self.namespace(a.link.ns, rule, top, depth, within=edges.select(F.col("_far").alias("eid")))
+            if child is None:
+                return None
             linked = edges.join(child.withColumnRenamed("eid", "_k"), F.col("_far") == F.col("_k"))
             sets = linked.groupBy("eid").agg(F.array_sort(F.collect_set("doc")).alias("doc"))
         return self.joined(df, sets, F.col("eid"), name)

@@ -1,4 +1,8 @@
-"""Schemas: namespaces of typed attributes, references and their reverse names."""
+"""Schemas: namespaces of typed attributes, references and their reverse names.
+
+``index`` and ``noHistory`` are accepted and kept as they are: every attribute is stored sorted, which is
+what an index would be for, and the log keeps the history of all of them.
+"""
 
 from __future__ import annotations
 
@@ -132,6 +136,8 @@ class Schema:
             else:
                 name = plural(a.ns)
             back = f"{a.link.ns}/{name}"
+            if back in flat:
+                raise DocumentError("wrong-schema", f"the reverse name {back} of {ident} is taken; give another one as rval", ident=ident, reverse=back)
             flat[ident] = replace(a, link=replace(a.link, other=back, back=name))
             flat[back] = Attribute(back, "ref", True, link=Link(a.ns, ident, True, ident, a.name))
             self.lookup[back] = back

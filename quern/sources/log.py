@@ -2,12 +2,15 @@
 
 A fact is (e, a, value, tx, added). A transaction is written to a folder of its own; it exists from
 the moment that a manifest names it. Manifests are numbered and created exclusively, so of two
-writers that commit the same number one fails and nothing is half visible.
+writers that commit the same number one fails and nothing is half visible. ``Log.compact`` puts all
+folders together and adds the state that they lead to, from which later reads start; no fact is
+lost by it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from datetime import UTC, datetime
@@ -37,17 +40,18 @@ class Facts:
     def __init__(self, schema: Schema, facts: DataFrame):
         self.schema, self.facts = schema, facts
 
-    def current(self, attributes: list[Attribute] | None = None) -> DataFrame:
+    def current(self, attributes: list[Attribute] | None = None, logged: bool = False) -> DataFrame:
         """The facts that hold: of each (e, a) - (e, a, value) if it may have many - the last one, if
-        it was added."""
+        it was added. With ``logged``, as they stand on the log."""
         wanted = self.schema.stored() if attributes is None else attributes
         facts = self.facts.where(F.col("a").isin([a.ident for a in wanted]))
         several = [a.ident for a in wanted if a.many]
         values = F.struct(*VALUES)
         key = F.when(F.col("a").isin(several), values) if several else F.lit(None).cast("string")
         last = facts.groupBy("e", "a", key.alias("k")).agg(
-            F.max_by(values, F.struct("tx", "added")).alias("v"), F.max_by("added", F.struct("tx", "added")).alias("added"))
-        return last.where("added").select("e", "a", "v.*")
+            F.max_by(values, F.struct("tx", "added")).alias("v"), F.max_by("added", F.struct("tx", "added")).alias("added"), F.max("tx").alias("tx"))
+        last = last.where("added")
+        return last.select("e", "a", "v.*", "added", "tx") if logged else last.select("e", "a", "v.*")
 
     def wide(self, ns: str, attributes: list[Attribute], implied: bool = False) -> DataFrame:
         # Only where an entity may be known by other attributes than the wanted ones are all of them read.
@@ -88,18 +92,51 @@ class Log:
         except Py4JJavaError as error:
             raise DocumentError("conflict", f"version {version} was committed by another writer") from error
 
-    def manifest(self) -> tuple[int, dict]:
-        last = max(s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/manifest")) if not s.getPath().getName().startswith("."))
-        stream = self._fs.open(self._at(f"{self.path}/manifest/{last}"))
+    def _get(self, name: str) -> dict:
+        stream = self._fs.open(self._at(f"{self.path}/{name}"))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return int(last.split(".")[0]), json.loads(text)
+        return json.loads(text)
 
-    def facts(self, tx: int) -> DataFrame:
-        """All facts up to a transaction: only the folders of such transactions are read."""
-        folders = self.manifest()[1].get("folders", {})
-        paths = [f"{self.path}/facts/{name}" for number, name in folders.items() if int(number) <= tx]
-        return self.spark.read.schema(_LOGGED).parquet(*paths) if paths else self.spark.createDataFrame([], _LOGGED)
+    def manifest(self) -> tuple[int, dict]:
+        last = max(s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/manifest")) if not s.getPath().getName().startswith("."))
+        return int(last.split(".")[0]), self._get(f"manifest/{last}")
+
+    def times(self) -> dict[int, datetime]:
+        """The instant of every transaction."""
+        manifest = self.manifest()[1]
+        older = self._get(f"times/{manifest['older']}.json") if manifest.get("older") else {}
+        return {int(tx): datetime.fromisoformat(when) for tx, when in (older | manifest["times"]).items()}
+
+    def facts(self, tx: int, history: bool = False) -> DataFrame:
+        """The facts up to a transaction that can matter to the state then, or with ``history`` all of
+        them. Only folders that hold some are read, from the last compacted state on."""
+        manifest = self.manifest()[1]
+        states = {int(t): name for t, name in manifest.get("states", {}).items() if int(t) <= tx and not history}
+        since = max(states, default=0)
+        folders = {name: (first, last) for name, (first, last) in manifest.get("folders", {}).items() if first <= tx and last > since}
+        paths = [f"{self.path}/facts/{name}" for name in [*folders, *([states[since]] if since else [])]]
+        if not paths:
+            return self.spark.createDataFrame([], _LOGGED)
+        out = self.spark.read.schema(_LOGGED).parquet(*paths)
+        return out.where(F.col("tx") <= tx) if any(last > tx for _, last in folders.values()) else out
+
+    def compact(self, schema: Schema) -> None:
+        """All facts in one folder, the state of the last transaction in another. Attributes that the
+        schema does not know keep all their facts in the state. Raises ``conflict`` if another
+        writer commits meanwhile; nothing is changed then."""
+        version, manifest = self.manifest()
+        tx, mark = manifest["tx"], uuid.uuid4().hex
+        every = self.facts(tx, history=True)
+        known = [a.ident for a in schema.stored()]
+        state = Facts(schema, every).current(logged=True).unionByName(every.where(~F.col("a").isin(known)))
+        for name, facts in ((f"all-{tx}-{mark}", every), (f"state-{tx}-{mark}", state)):
+            facts.select(_LOGGED.names).repartitionByRange("a", "e").sortWithinPartitions("a", "e").write.parquet(f"{self.path}/facts/{name}")
+        out = self._fs.create(self._at(f"{self.path}/times/{tx}-{mark}.json"), False)
+        out.write(bytearray(json.dumps({str(t): when.isoformat(timespec="milliseconds") for t, when in self.times().items()}).encode()))
+        out.close()
+        self._put(version + 1, {"tx": tx, "next": manifest["next"], "times": {}, "older": f"{tx}-{mark}", "folders": {f"all-{tx}-{mark}": [FIRST_TX, tx]},
+                                "states": manifest.get("states", {}) | {str(tx): f"state-{tx}-{mark}"}})
 
     def commit(self, version: int, before: dict, facts: DataFrame, used: int) -> int:
         """Write the facts as the next transaction and return its number. The folder is the writer's
@@ -108,20 +145,31 @@ class Log:
         name = f"{tx}-{uuid.uuid4().hex}"
         # Sorted by attribute, so that a query's attributes are few row groups of each file.
         facts.withColumn("tx", F.lit(tx).cast("long")).sortWithinPartitions("a", "e").write.parquet(f"{self.path}/facts/{name}")
-        self._put(version + 1, {"tx": tx, "next": before["next"] + used, "times": before["times"] | {str(tx): _now()},
-                                "folders": before.get("folders", {}) | {str(tx): name}})
+        try:
+            self._put(version + 1, before | {"tx": tx, "next": before["next"] + used, "times": before["times"] | {str(tx): _now()},
+                                             "folders": before.get("folders", {}) | {name: [tx, tx]}})
+        except DocumentError:
+            self._fs.delete(self._at(f"{self.path}/facts/{name}"), True)
+            raise
         return tx
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage gone. The folder is the one that the
-    session names in ``spark.checkpoint.dir``; only where there is none, one of our own."""
+    session names in ``spark.checkpoint.dir``; only where there is none, and all runs on one machine, one of our own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder, for a session whose executors are on this machine, with its disk."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise DocumentError("no-checkpoint-dir", "set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="quern-")
+
+
 def _now() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds")
 
