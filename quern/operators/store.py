@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -315,16 +315,14 @@ class Store(View):
             raw = F.col(f"`{name}`") if name in frame.columns else F.lit(None).cast(kind)
             if a.type in ("enum", "keyword"):
                 prefix = "^:?" + (f"(?:{re.escape(ns_)}/)?" if (ns_ := a.enum_ns or a.keyword_ns) else "")
-                bare = lambda c, prefix=prefix: F.regexp_replace(c.cast("string"), prefix, "")
-                raw = F.transform(raw, bare) if a.many else bare(raw)
+                raw = F.transform(raw, _without(prefix)) if a.many else _without(prefix)(raw)
             column = raw.cast(kind) if a.many else raw.try_cast(kind)
             if not a.many and name in frame.columns:
                 wrong[f"t_{name}"] = ("wrong-type", raw.isNotNull() & column.isNull())
             if a.default is not None:
                 column = F.coalesce(column, _per_row(a.default, kind) if callable(a.default) else F.lit(a.default).cast(kind))
             if a.values is not None:
-                outside = lambda c, a=a: ~c.isin(sorted(a.values))
-                wrong[f"e_{name}"] = ("wrong-input", F.exists(column, outside) if a.many else outside(column))
+                wrong[f"e_{name}"] = ("wrong-input", F.exists(column, _outside(a.values)) if a.many else _outside(a.values)(column))
             if a.restrict is not None:
                 wrong[f"r_{name}"] = ("failed-restriction", ~_passes(a.restrict, column))
             if a.required:
@@ -513,10 +511,10 @@ class Store(View):
         """From the entities that fit along reference, term, reference, term ..."""
         if len(path) % 2:
             raise DocumentError("wrong-input", "the path takes a reference and a term in turn", path=path)
-        ids, _, _ = self._matching(query, op, given)
-        ns = ""
+        ids, spaces, _ = self._matching(query, op, given)
+        ns = spaces[0] if len(spaces) == 1 else ""
         for key, term in zip(path[::2], path[1::2]):
-            ident = "/".join(x for x in (ns, key) if x)
+            ident = key if key in self.schema.lookup or not ns else f"{ns}/{key}"
             a = self.schema.flat.get(self.schema.lookup.get(ident, ""))
             if a is None or a.type != "ref" or not a.link.ns:
                 raise DocumentError("cannot-perform-reverse-lookup", ident, value=ident)
@@ -614,6 +612,14 @@ class Store(View):
 _STAND_INS = -(1 << 40)
 
 
+def _without(prefix: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c.cast("string"), prefix, "")
+
+
+def _outside(values: frozenset) -> Callable[[Column], Column]:
+    return lambda c: ~c.isin(sorted(values))
+
+
 def _passes(restrict: Any, column: Column) -> Column:
     """Whether the values pass a restriction, which is a Python function; nulls do."""
     test = restrict[1] if isinstance(restrict, (list, tuple)) else restrict

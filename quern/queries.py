@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from quern.functions.coerce import coerce_column
 from quern.operators.changes import Rows, TableView
 from quern.operators.query import View
+from quern.operators.store import Store
 from quern.plans.schema import Schema
-from quern.sources.log import FACTS, VALUES, Facts
+from quern.sources.log import FACTS, VALUES, Facts, shared_folder
 from quern.sources.tables import Table, Tables
-from quern.terms import ANY, Var
+from quern.terms import ANY, TempId, Var
 
 
 def _ref(ns: str) -> list:
@@ -65,11 +67,12 @@ _COLUMNS = {
 
 
 def view(spark: SparkSession, sf_dir: str) -> TableView:
-    """The driver's tables as namespaces. Tables without a key get a hash of the whole row as id."""
+    """The driver's tables as namespaces. Tables without a key get two hashes of the whole row as id; one
+    would put different rows together in a table of billions."""
     tables = {}
     for ns, columns in _COLUMNS.items():
         path = f"{sf_dir}/{_FILES.get(ns, ns)}.parquet"
-        tables[ns] = Table(lambda path=path: spark.read.parquet(path), _KEYS.get(ns) or (lambda frame: F.xxhash64(*map(F.col, frame.columns))), columns)
+        tables[ns] = Table(lambda path=path: spark.read.parquet(path), _KEYS.get(ns) or (lambda frame: F.struct(F.xxhash64(*map(F.col, frame.columns)), F.xxhash64(F.lit(1), *map(F.col, frame.columns)))), columns)
     return TableView(Tables(Schema(SCHEMA), tables))
 
 
@@ -209,6 +212,16 @@ _select("stage_convert", "region", {"region/name": "asia"}, f"SELECT {_REGION} F
 _select("stage_ignore", "region", {"region": {"name": "ASIA", "colour": "red"}}, f"SELECT {_REGION} FROM region WHERE r_name = 'ASIA'", pipeline={"ignore": {"region": {"colour": "checked"}}})
 _select("stage_post_process", "region", {"region/name": "ASIA"}, f"SELECT {_REGION} FROM region WHERE r_name = 'EUROPE'", pipeline={"post_process": lambda d: {"region": {"name": ["EUROPE"]}}})
 
+_select("stage_require", "customer", {"customer/mktsegment": "BUILDING"}, SQL["sel_eq"], pipeline={"pre_require": {"customer": {"mktsegment": "checked"}}})
+_select("stage_post_require", "customer", {"customer/mktsegment": "BUILDING"}, SQL["sel_eq"], pipeline={"post_require": {"customer": {"mktsegment": "checked"}}})
+_select("stage_post_mask", "order", _BOTH, SQL["stage_mask"], pull=_ORDER_MODEL, pipeline={"post_mask": {"order": {"status": "checked"}}})
+_select("stage_post_transform", "customer", {"customer/mktsegment": "BUILDING"}, SQL["stage_transform"], pipeline={"post_transform": {"customer": {"mktsegment": lambda v: "MACHINERY"}}})
+_select("stage_expression", "customer", {"customer": {"acctbal": (">", 5000.0)}}, SQL["sel_gt"], pipeline={"expression": {"customer": {"acctbal": {">", "<"}}}})
+_select("stage_validate", "customer", {"customer/mktsegment": "BUILDING"}, SQL["sel_eq"], pipeline={"validate": {"customer": {"mktsegment": lambda v: v.isupper()}}})
+_select("stage_typecheck", "part", {"part": {"size": "40"}}, f"SELECT DISTINCT {_PART} FROM part WHERE p_size = 40", use_typecheck=True, use_coerce=True)
+_select("skip_normalise", "customer", {"customer": {"mktsegment": ["BUILDING"]}}, SQL["sel_eq"], skip_normalise=True)
+_add("record", lambda v: v.select({"customer/mktsegment": "BUILDING"}, record=True).result.select("customer.name", "customer.acctbal", "customer.mktsegment"), SQL["sel_eq"])
+
 # Raw patterns
 _DATALOG = ["find", "?o", "in", "$", "?segment", "where", ["?o", "order/customer", "?c"], ["?c", "customer/mktsegment", "?segment"], ["?o", "order/totalprice", "?p"], [[">", "?p", 300000.0]]]
 _add("datalog_join", lambda v: v.query(_DATALOG, ["BUILDING"], returns="ids"),
@@ -291,6 +304,114 @@ _log("log_query", lambda f: View(f).select({"user": {"kinds": ["click", "error"]
      "SELECT e AS eid FROM l WHERE s = 'view' AND e IN (SELECT e FROM k WHERE s = 'click') AND e IN (SELECT e FROM k WHERE s = 'error')")
 
 
+# Stores: the tables are loaded, then changed by real transactions
+_STORED = {
+    "nation": {"key": [{"type": "long", "unique": "identity", "required": True}], "name": [{"fulltext": True}]},
+    "customer": {
+        "key": [{"type": "long", "unique": "identity", "required": True}], "name": [{"restrict": ("a name starts so", lambda s: s.startswith("Customer"))}],
+        "acctbal": _kind("double"), "credits": [{"type": "long", "default": 0}], "nation": _ref("nation"),
+        "segment": [{"type": "enum", "enum": {"ns": "segment", "values": {"AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"}}}],
+        "marks": [{"type": "keyword", "cardinality": "many", "keyword": {"ns": "mark"}}],
+    },
+}
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> Store:
+    """A new store with the nations (transaction 1001) and the customers (1002)."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    ds = Store.open(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", _STORED)
+    ds.insert_frame("nation", read("nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")))
+    nations = ds.source.pairs(ds.schema.flat["nation/key"]).select(F.col("e").alias("nation"), F.col("v").alias("c_nationkey"))
+    marks = F.array(F.concat(F.lit("mark/"), F.lower("c_mktsegment")), F.lit(":mark/all"))
+    ds.insert_frame("customer", read("customer").join(nations, "c_nationkey").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"),
+        F.concat(F.lit(":segment/"), "c_mktsegment").alias("segment"), "nation", marks.alias("marks")))
+    return ds
+
+
+_STATE = ("key", "name", "acctbal", "credits", "segment")
+
+
+def _state(ds: Store, query: object = "customer", **keys: object) -> DataFrame:
+    return ds.select(query, pull={"customer": dict.fromkeys(_STATE, "checked") | {"marks": "unchecked"}}, **keys).select(*(f"customer.{c}" for c in _STATE))
+
+
+def _store(name: str, change: Callable[[Store], object], sql: str, show: Callable[[Store], DataFrame] = _state) -> None:
+    """A change of a loaded store, and what the store, or what the change returned, shows then."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = loaded(spark, sf_dir)
+        out = change(ds)
+        return show(out if isinstance(out, Store) else ds)
+
+    QUERIES[name] = run
+    SQL[name] = sql
+
+
+def _stored(acctbal: str = "c_acctbal", segment: str = "c_mktsegment", name: str = "c_name", where: str = "true", credits: str = "CAST(0 AS BIGINT)") -> str:
+    return (f"SELECT c_custkey AS key, {name} AS name, {acctbal} AS acctbal, {credits} AS credits, {segment} AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE {where}")
+
+
+_IN_3, _BUILDING = {"customer/nation/name": "NATION_3"}, {"customer/segment": "BUILDING"}
+_store("store_insert_frame", lambda ds: None, _stored())
+_store("store_marks", lambda ds: None, "SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING'",
+       lambda ds: ds.select({"customer": {"marks": [":mark/building", "all"]}}, pull={"customer": {"key": "checked"}}, blank=True).select("customer.key"))
+_store("store_update", lambda ds: ds.update(_IN_3, {"customer/acctbal": 0.0}), _stored("CASE WHEN n_name = 'NATION_3' THEN 0.0 ELSE c_acctbal END"))
+_store("store_update_function", lambda ds: ds.update(_BUILDING, {"customer": {"credits": ("inc", 5)}}), _stored(credits="CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 5 ELSE 0 END AS BIGINT)"))
+_store("store_update_nested", lambda ds: ds.update({"customer/key": 7}, {"customer": {"nation": {"key": 77, "name": "ATLANTIS"}}}),
+       "SELECT n_name AS name FROM nation UNION ALL SELECT 'ATLANTIS'", lambda ds: ds.select("nation", pull={"nation": {"name": "checked"}}, blank=True).select("nation.name"))
+_store("store_delete", lambda ds: ds.delete({"customer/acctbal": ("<", 0.0)}), _stored(where="NOT c_acctbal < 0"))
+_store("store_delete_all", lambda ds: ds.delete_all({"nation/name": "NATION_3"}, access={"nation": {"customers": {}}}), _stored(where="n_name <> 'NATION_3'"))
+_store("store_retract", lambda ds: ds.retract(_BUILDING, [("customer/acctbal", (">", 5000.0))]), _stored("CASE WHEN NOT (c_mktsegment = 'BUILDING' AND c_acctbal > 5000) THEN c_acctbal END"))
+_store("store_update_in", lambda ds: ds.update_in({"nation/name": "NATION_3"}, ["customers", {"segment": "BUILDING"}], {"acctbal": 1.0}),
+       _stored("CASE WHEN n_name = 'NATION_3' AND c_mktsegment = 'BUILDING' THEN 1.0 ELSE c_acctbal END"))
+_store("store_delete_in", lambda ds: ds.delete_in({"nation/name": "NATION_3"}, ["customers", {"acctbal": (">", 5000.0)}]), _stored(where="NOT (n_name = 'NATION_3' AND c_acctbal > 5000)"))
+_store("store_retract_in", lambda ds: ds.retract_in({"nation/name": "NATION_3"}, ["customers", "_"], ["segment"]), _stored(segment="CASE WHEN n_name <> 'NATION_3' THEN c_mktsegment END"))
+_store("store_transact", lambda ds: ds.transact([(TempId("x"), "nation/name", "ATLANTIS"), (TempId("x"), "nation/key", 77)]),
+       "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation UNION ALL SELECT 77, 'ATLANTIS'", lambda ds: ds.select("nation").select("nation.key", "nation.name"))
+
+
+def _two_changes(ds: Store) -> None:
+    with ds.sync() as held:
+        held.update(_BUILDING, {"customer/acctbal": 7.0})
+        held.delete({"customer/acctbal": ("<", 0.0)})  # both see the snapshot from before
+
+
+_store("store_sync", _two_changes, _stored("CASE WHEN c_mktsegment = 'BUILDING' THEN 7.0 ELSE c_acctbal END", where="NOT c_acctbal < 0"),
+       lambda ds: _state(ds, {"customer/key": ANY}, at=1003))
+_store("store_snapshot", lambda ds: ds.update("customer", {"customer/acctbal": 0.0}), _stored(), lambda ds: _state(ds, at=1002))
+_store("store_instant", lambda ds: ds.delete("customer"), _stored(), lambda ds: _state(ds.snapshot(ds.transaction_time(1002))))
+_store("store_simulate", lambda ds: ds.delete({"customer/acctbal": ("<", 0.0)}, simulate=True).after.update(_BUILDING, {"customer/credits": 3}, simulate=True).after,
+       _stored(where="NOT c_acctbal < 0", credits="CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 3 ELSE 0 END AS BIGINT)"))
+_store("store_transactions", lambda ds: (ds.update(_BUILDING, {"customer/acctbal": 1.0}), ds.update(_BUILDING, {"customer/credits": 2})), "SELECT CAST(unnest([1002, 1003]) AS BIGINT) AS tx",
+       lambda ds: ds.spark.createDataFrame([(t,) for t in ds.transactions("customer/acctbal")], "tx long"))
+_store("store_history", lambda ds: ds.retract(_BUILDING, "customer/acctbal"),
+       "SELECT 1002 AS tx, true AS added, count(*) AS n FROM customer UNION ALL SELECT 1003, false, count(*) FROM customer WHERE c_mktsegment = 'BUILDING'",
+       lambda ds: ds.history().where("a = 'customer/acctbal'").groupBy(F.col("tx").cast("int").alias("tx"), "added").agg(F.count("*").alias("n")))
+
+
+def _compacted(ds: Store) -> None:
+    ds.update(_IN_3, {"customer/acctbal": 0.0})
+    ds.compact()
+    ds.delete(_BUILDING)
+
+
+_store("store_compact", _compacted, _stored("CASE WHEN n_name = 'NATION_3' THEN 0.0 ELSE c_acctbal END", where="c_mktsegment <> 'BUILDING'"))
+_store("store_compact_as_of", _compacted, _stored(), lambda ds: _state(ds, at=1002))
+_store("store_upsert", lambda ds: ds.insert_frame("customer", ds.spark.createDataFrame([(7, "Customer seven", 9), (-1, "Customer none", None)], "key long, name string, credits long")),
+       _stored(name="CASE WHEN c_custkey = 7 THEN 'Customer seven' ELSE c_name END", credits="CAST(CASE WHEN c_custkey = 7 THEN 9 ELSE 0 END AS BIGINT)")
+       + " UNION ALL SELECT -1, 'Customer none', NULL, 0, NULL")
+_store("store_insert", lambda ds: ds.insert([{"customer": {"key": -1, "name": "Customer A", "nation": TempId("n")}}, {"nation": {"key": -5, "name": "N"}, "db/id": TempId("n")}]),
+       "SELECT -1 AS key, 'N' AS nation", lambda ds: ds.select({"customer/nation/key": -5}, pull={"customer": {"key": "checked", "nation": {"name": "checked"}}}, blank=True)
+       .select(F.col("customer.key").cast("int").alias("key"), F.col("customer.nation.name").alias("nation")))
+_store("store_linked", lambda ds: None, "SELECT count(*) + 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
+       lambda ds: ds.linked({"nation/name": "NATION_3"}, {"nation": {"customers": "id"}}).agg(F.count("*").alias("n")))
+_store("store_fulltext", lambda ds: ds.update({"nation/key": 3}, {"nation/name": "A sci-fi Land"}), "SELECT 3 AS key",
+       lambda ds: ds.select({"nation": {"name": ("?fulltext", "Sci-Fi")}}, pull={"nation": {"key": "checked"}}, blank=True).select(F.col("nation.key").cast("int").alias("key")))
+_store("store_properties", lambda ds: None, "SELECT * FROM (VALUES ('nation/key', 'long', 'one'), ('nation/name', 'string', 'one'), ('customer/key', 'long', 'one'), ('customer/name', 'string', 'one'), "
+       "('customer/acctbal', 'double', 'one'), ('customer/credits', 'long', 'one'), ('customer/nation', 'ref', 'one'), ('customer/segment', 'enum', 'one'), ('customer/marks', 'keyword', 'many')) "
+       "t(ident, type, cardinality)", lambda ds: ds.schema_properties())
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of Asia by a two-hop document query."""
     return QUERIES["sel_fwd2"](spark, sf_dir)

@@ -157,12 +157,18 @@ class Log:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage gone. The folder is the one that the
     session names in ``spark.checkpoint.dir``; only where there is none, and all runs on one machine, one of our own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or own_folder(df.sparkSession))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that the driver and all executors share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def own_folder(spark: SparkSession) -> str:
     """A temporary folder, for a session whose executors are on this machine, with its disk."""
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
