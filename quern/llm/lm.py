@@ -3,14 +3,20 @@
 Method
     Words are 64-bit hashes. One pass over the texts writes blocks of whole documents, coded by a
     dictionary of the block's own words; the dictionaries' training counts, summed by word, are the
-    corpus counts, and come back to the blocks that hold the word. Classes: words fall into
-    ``BUCKETS`` buckets by hash (a frequent word has a bucket almost to itself) and buckets into
-    ``CLASSES`` classes. In each of ``PASSES`` passes, tasks count how often every bucket follows and
-    precedes every class in the training texts, and the driver, which holds these counts - their
-    number is fixed by the two parameters - moves one bucket after another to the class that most
-    raises the likelihood of the class bigrams. A token's probability is the transition from the
-    class before to its own times its share of the class, interpolated with the add-one unigram.
-    Start and end of a text are a class of their own.
+    corpus counts, and come back to the blocks that hold the word.
+    Exchange clustering assigns words to ``CLASSES`` classes. Words of at least the share ``FREQUENT`` of
+    all training tokens - of which there can be at most 1 / ``FREQUENT``, whatever the corpus - are moved in
+    passes: tasks count how often each of them follows and precedes every class, and the
+    words go to the class that most raises the likelihood of the class bigrams. In the first passes the
+    ``HEAD`` most frequent words are moved, one after another; in those that follow all, by tasks for ranges of
+    words, each on its own copy of the bigrams. Every rarer word of the training texts is
+    then assigned, by its own neighbours in the whole corpus and the same likelihood, to a class of its own choice,
+    with the corpus counts' shuffle. As a neighbour, a rare word stands for all rare ones.
+    A token's probability is the transition to its class from the neighbour before it, times its share of the class,
+    interpolated with the add-one unigram. Start and end of a text are a neighbour of their own. Words
+    that the training texts do not have are in the class of the most different words.
+
+Only the frequent words with their classes (nine bytes each), the class bigrams and the classes' sums come to the driver.
 
 Defined results: a null or empty text is the end token alone; a null id is carried along, its crc32
 taken of the empty string; repeated rows count and appear as often as they occur; without training
@@ -19,7 +25,8 @@ rows all counts are 0; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import give_back, materialise, read_table, text_bytes, texts_of
 from quern.llm.shingles import chunks, hash_words, mix
 
-BUCKETS, CLASSES, PASSES = 1 << 16, 32, 4
+CLASSES = 32
+#: Passes over the most frequent words alone, and over all frequent words.
+HEAD_PASSES, PASSES = 2, 3
+#: Least share of the training tokens of a word that takes part in the passes.
+FREQUENT = 2.0**-20
 #: Weight of the class model against the unigram; pseudo-counts of transitions and emissions.
 MIXTURE, TRANSITION, EMISSION = 0.85, 0.1, 0.5
 #: Bytes of text in a block.
@@ -38,11 +49,18 @@ BLOCK_BYTES = 4 << 20
 #: The end token's word.
 END = int(mix(np.array([0xE2D], np.uint64)).view(np.int64)[0])
 
-#: Words of a range of word hashes that are summed at once; bounds that task's memory.
-RANGE_WORDS = 250_000
+#: Most different words, and entries of all blocks' dictionaries, of a range of word hashes that is
+#: summed at once; they bound that task's memory.
+RANGE_WORDS, RANGE_ENTRIES = 250_000, 2_000_000
+#: Words that one task moves one by one; ranges of the others, each counted and moved by a task; of these words so
+#: many are moved at once.
+HEAD, CHUNKS, BATCH = 4096, 64, 64
+#: Neighbours: the classes, any rare word, the start or end of the text.
+RARE, EDGE = CLASSES, CLASSES + 1
+WIDTH = CLASSES + 2
 
-_CHUNKS = 64  # in which bucket counts are summed
-_BLOCKS = "block long, docs array<long>, held array<boolean>, lengths array<long>, codes binary, buckets binary, words binary, train binary, n_words long"
+_SAMPLED = 1023  # a word is one of the sample by which different words are counted if these bits of its hash are 0
+_BLOCKS = "block long, docs array<long>, held array<boolean>, lengths array<long>, codes binary, words binary, train binary, n_words long, n_train long, sample array<long>"
 
 
 def _press(array: np.ndarray) -> bytes:
@@ -53,9 +71,24 @@ def _read(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch of a schema of long and binary columns; None is a column of nulls."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    n = max(len(c) for c in columns if c is not None)
+    types = [pa.int64() if kind == "long" else pa.binary() for kind in kinds]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one at a time, so that no more than one block's arrays are Python objects."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _encode(texts: DataFrame) -> DataFrame:
     """Blocks of whole documents: ids, fold, token counts, and the tokens as places in the block's
-    sorted words; of those words the buckets, hashes and training counts."""
+    sorted words; of those words the hashes and training counts."""
 
     def block_of(number: int, docs: pa.Array, held: pa.Array, raw: list[bytes]) -> pa.RecordBatch:
         hashes, lengths = [], []
@@ -65,10 +98,10 @@ def _encode(texts: DataFrame) -> DataFrame:
             lengths.append(counts + 1)
         length = np.concatenate(lengths)
         words, codes = np.unique(np.concatenate(hashes).view(np.int64), return_inverse=True)
-        train = np.bincount(codes, np.repeat(~held.to_numpy(zero_copy_only=False), length), len(words))
-        values = [number, docs.to_pylist(), held.to_pylist(), length.tolist(), _press(codes.astype("<u4")),
-                  _press(_bucket(words).astype("<u2")), words.tobytes(), _press(train.astype("<i8")), len(words)]
-        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64())
+        train = np.bincount(codes, np.repeat(~held.to_numpy(zero_copy_only=False), length), len(words)).astype("<i8")
+        values = [number, docs.to_pylist(), held.to_pylist(), length.tolist(), _press(codes.astype("<u4")), words.tobytes(), _press(train), len(words),
+                  int(train.sum()), words[(words & _SAMPLED == 0) & (train > 0)].tolist()]
+        types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3, *[pa.int64()] * 2, pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[c.split()[0] for c in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,209 +122,445 @@ def _encode(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _BLOCKS)
 
 
-def _corpus_counts(blocks: DataFrame) -> DataFrame:
-    """Two kinds of rows: (block, part, totals), the corpus training counts of the block's words of
-    one range of hashes; and (bucket, tokens, types), a range's sums for a bucket."""
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    ranges = -(-total // RANGE_WORDS) or 1
+def _dealt(blocks: DataFrame, ranges: int, entries: Callable[[dict], tuple[np.ndarray, Callable[[int, int], bytes]]], add: Callable[[int, list], Iterator[pa.RecordBatch]],
+           schema: str) -> DataFrame:
+    """For every block its sorted words, and what is to be said of those from one place to another, go to
+    the task of their range of hashes, all of a range's at once to ``add``: (block, words, data)."""
+    edges = np.array([-(1 << 63) + (i << 64) // ranges for i in range(1, ranges)], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([-(1 << 63) + (i << 64) // ranges for i in range(1, ranges)], np.int64)
-        for batch in batches:
-            for block, words, train in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, counts = np.frombuffer(words, np.int64), _read(train, "<i8")
-                cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-                some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in some], pa.int64()), pa.array([block] * len(some), pa.int64()),
-                     pa.array([hashes[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([_press(counts[a:b]) for _, a, b in some], pa.binary())],
-                    names=["part", "block", "words", "train"])
+        for row in _rows(batches):
+            words, data = entries(row)
+            cuts = [0, *np.searchsorted(words, edges).tolist(), len(words)]
+            some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            if some:
+                yield _batch("part long, block long, words binary, data binary",
+                             [[i for i, _, _ in some], [row["block"]] * len(some), [words[a:b].tobytes() for _, a, b in some], [data(a, b) for _, a, b in some]])
+        give_back()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
         for batch in batches:
-            for number, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, block, words, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != part and held:
-                    yield from summed(part, held)
+                    yield from add(part, held)
                     held = []
                 part = number
-                held.append(row)
+                held.append((block, np.frombuffer(words, np.int64), data))
         if held:
-            yield from summed(part, held)
-
-    def summed(part: int, held: list) -> Iterator[pa.RecordBatch]:
-        hashes = [np.frombuffer(words, np.int64) for _, words, _ in held]
-        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([_read(train, "<i8") for *_, train in held]), len(words)).astype("<i8")
-        ends = np.cumsum([len(h) for h in hashes])
-        packed = [_press(totals[place[e - len(h) : e]]) for h, e in zip(hashes, ends)]
-        yield rows(len(held), {0: [block for block, _, _ in held], 1: [part] * len(held), 2: packed})
-        known = (totals > 0) & (words != END)
-        bucket = _bucket(words[known])
-        types = np.bincount(bucket, minlength=BUCKETS)
-        some = np.flatnonzero(types)
-        yield rows(len(some), {3: some, 4: np.bincount(bucket, totals[known], BUCKETS)[some].astype(np.int64), 5: types[some]})
-        if (totals[words == END] > 0).any():
-            yield rows(1, {3: [-1], 4: totals[words == END], 5: [1]})
-
-    def rows(n: int, columns: dict) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(columns[i], t) if i in columns else pa.nulls(n, t) for i, t in enumerate(types)],
-                                          names=["block", "part", "totals", "bucket", "tokens", "types"])
-
-    dealt = blocks.select("block", "words", "train").mapInArrow(deal, "part long, block long, words binary, train binary")
-    dealt = dealt.repartition(min(ranges, 10_000), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(add, "block long, part long, totals binary, bucket long, tokens long, types long")
-
-
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return words & (BUCKETS - 1)
-
-
-def _tokens(row: dict, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, buckets of the words, the tokens' classes and, for each token, the class before."""
-    codes = _read(row["codes"], "<u4")
-    bucket = _read(row["buckets"], "<u2").astype(np.int64)
-    kind = classes[bucket][codes]
-    kind[np.cumsum(row["lengths"]) - 1] = CLASSES
-    before = np.empty_like(kind)
-    before[0], before[1:] = CLASSES, kind[:-1]  # every text ends with the end token, whose class opens the next
-    return codes, bucket, kind, before
-
-
-def _count_pass(blocks: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """counts[0, b, k]: bucket b after class k; counts[1, b, k]: class k after bucket b."""
-    width = CLASSES + 1
-    per_chunk = BUCKETS // _CHUNKS
+            yield from add(part, held)
+        give_back()
+
+    dealt = blocks.mapInArrow(deal, "part long, block long, words binary, data binary")
+    return dealt.repartition(min(ranges, 10_000), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+_COUNTED = "block long, part long, totals binary, words binary, counts binary, tokens long, types long"
+
+
+def _corpus_counts(blocks: DataFrame, ranges: int, least: int) -> DataFrame:
+    """Rows of two kinds: (block, part, totals), the corpus training counts of the block's words of
+    one range of hashes; and (words, counts, tokens, types), of a range the words of at least so
+    many training tokens, its training tokens and its different words."""
+
+    def entries(row: dict) -> tuple[np.ndarray, Callable]:
+        counts = _read(row["train"], "<i8")
+        return np.frombuffer(row["words"], np.int64), lambda a, b: _press(counts[a:b])
+
+    def add(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([_read(data, "<i8") for *_, data in held]), len(words)).astype("<i8")
+        ends = np.cumsum([len(w) for _, w, _ in held])
+        packed = [_press(totals[place[e - len(w) : e]]) for (_, w, _), e in zip(held, ends)]
+        yield _batch(_COUNTED, [[block for block, *_ in held], [part] * len(held), packed, None, None, None, None])
+        often = (totals >= least) & (words != END)
+        yield _batch(_COUNTED, [None, [part], None, [words[often].tobytes()], [totals[often].tobytes()], [int(totals.sum())], [int((totals > 0).sum())]])
+
+    return _dealt(blocks.select("block", "words", "train"), ranges, entries, add, _COUNTED)
+
+
+@dataclass
+class Frequent:
+    """The frequent words: hashes, sorted, and the rank of each; counts and classes by rank."""
+
+    words: np.ndarray
+    ranks: np.ndarray
+    counts: np.ndarray
+    classes: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray, counts: np.ndarray) -> Frequent:
+        """Ranked by count. The first words have a class each, all others share the last."""
+        order = np.lexsort((words, -counts))
+        by_hash = np.argsort(words[order])
+        return Frequent(words[order][by_hash], by_hash, counts[order], np.minimum(np.arange(len(words)), CLASSES - 1))
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """The ranks of the words; the number of frequent words for all others."""
+        n = len(self.words)
+        if not n:
+            return np.zeros(len(words), np.int64)
+        at = np.searchsorted(self.words, words)
+        at[at == n] = 0
+        return np.where(self.words[at] == words, self.ranks[at], n)
+
+    def bounds(self) -> np.ndarray:
+        """The ranks at which the chunks of words begin, and the last one's end."""
+        n = len(self.words)
+        if n <= HEAD:
+            return np.array([0, n])
+        return np.unique(np.append(np.arange(HEAD, n, -(-(n - HEAD) // CHUNKS)), (0, n)))
+
+    def neighbours(self, places: np.ndarray) -> np.ndarray:
+        return np.append(self.classes, RARE)[places]
+
+
+def _neighbours(row: dict, kind: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token the neighbour before and after it, and whether it is an end. ``kind``: what each
+    of the block's words is as a neighbour."""
+    own = kind[codes]
+    ends = np.zeros(len(codes), bool)
+    ends[np.cumsum(row["lengths"]) - 1] = True
+    own[ends] = EDGE
+    before = np.empty_like(own)
+    before[0], before[1:] = EDGE, own[:-1]  # every text ends with the end token, which opens the next
+    after = np.append(own[1:], EDGE)
+    return before, after, ends
+
+
+def _cells(codes: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word * WIDTH + neighbour, sorted, and how often."""
+    every = np.bincount(codes * WIDTH + other, minlength=n * WIDTH)
+    found = np.flatnonzero(every)
+    return found, every[found]
+
+
+def _count_pass(blocks: DataFrame, frequent: Frequent) -> DataFrame:
+    """(chunk, counts): of the frequent words of a chunk how often each
+    comes after and before every neighbour, as an array (2, words, WIDTH)."""
+    bounds = frequent.bounds()
+
+    def merged(parts: list) -> list:
+        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return [(keys, np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BUCKETS * width, np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                codes, bucket, kind, before = _tokens(row, classes)
-                own = bucket[codes]
-                train = np.repeat(~np.array(row["held"], bool), row["lengths"])
-                after = train & (kind != CLASSES)
-                total[: len(total) // 2] += np.bincount(own[after] * width + before[after], minlength=BUCKETS * width)
-                ahead = train[1:] & (before[1:] != CLASSES)
-                total[len(total) // 2 :] += np.bincount(own[:-1][ahead] * width + kind[1:][ahead], minlength=BUCKETS * width)
-        parts = total.astype("<i4").reshape(2, _CHUNKS, -1)
-        some = [c for c in range(_CHUNKS) if parts[:, c].any()]
-        yield chunk_rows(some, [pa.compress(np.ascontiguousarray(parts[:, c]), "zstd", asbytes=True) for c in some])
+        held: list[list] = [[], []]
+        for row in _rows(batches):
+            codes = _read(row["codes"], "<u4").astype(np.int64)
+            places = frequent.places(np.frombuffer(row["words"], np.int64))
+            before, after, ends = _neighbours(row, frequent.neighbours(places), codes)
+            train = np.repeat(~np.array(row["held"], bool), row["lengths"]) & ~ends & (places[codes] < bounds[-1])
+            for side, other in enumerate((before, after)):
+                cells, counts = _cells(codes[train], other[train], len(places))
+                held[side].append((places[cells // WIDTH] * WIDTH + cells % WIDTH, counts))
+                if sum(len(k) for k, _ in held[side]) > 4_000_000:
+                    held[side] = merged(held[side])
+        for side in (0, 1):
+            for keys, counts in merged(held[side]) if held[side] else []:
+                cuts = np.searchsorted(keys, bounds * WIDTH).tolist()
+                some = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                if some:
+                    yield _batch("chunk long, side long, cells binary, counts binary", [
+                        [c for c, _, _ in some], [side] * len(some), [_press(np.diff(keys[a:b], prepend=bounds[c] * WIDTH).astype("<u4")) for c, a, b in some],
+                        [_press(counts[a:b].astype("<u4")) for _, a, b in some]])
         give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = pa.decompress(counts, 2 * per_chunk * width * 4, "zstd", asbytes=True)
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(raw, "<i4").astype(np.int64)
-        yield chunk_rows(list(total), [t.tobytes() for t in total.values()])
-
-    def chunk_rows(numbers: list[int], counts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
+        for row in _rows(batches):
+            c = row["chunk"]
+            own = total.setdefault(c, np.zeros((2, (bounds[c + 1] - bounds[c]) * WIDTH), np.int64))
+            own[row["side"]][np.cumsum(_read(row["cells"], "<u4").astype(np.int64))] += _read(row["counts"], "<u4")
+        for chunk, counts in total.items():
+            yield _batch("chunk long, counts binary", [[chunk], [_press(counts)]])
+        give_back()
 
-    partial = blocks.select("held", "lengths", "codes", "buckets").mapInArrow(count, "chunk int, counts binary")
-    summed = partial.repartition(_CHUNKS // 4, "chunk").mapInArrow(add, "chunk int, counts binary")
-    out = np.zeros((2, _CHUNKS, per_chunk, width), np.int64)
-    for row in summed.toLocalIterator():  # 2 * BUCKETS * (CLASSES + 1) numbers in all
-        out[:, row["chunk"]] = np.frombuffer(row["counts"], np.int64).reshape(2, per_chunk, width)
-    return out.reshape(2, BUCKETS, width)
+    partial = blocks.select("held", "lengths", "codes", "words").mapInArrow(count, "chunk long, side long, cells binary, counts binary")
+    return materialise(partial.repartition(len(bounds) - 1, "chunk").mapInArrow(add, "chunk long, counts binary"), "neighbours")
 
 
 def class_bigrams(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """bigrams[k, l]: class l after class k."""
-    width = CLASSES + 1
-    out = np.zeros((width, width))
+    """grid[k, l]: how often neighbour l comes after neighbour k, one of the two being a class."""
+    out = np.zeros((WIDTH, WIDTH))
     np.add.at(out, classes, counts[1])
-    out[CLASSES] = [counts[0][classes == k, CLASSES].sum() for k in range(CLASSES)] + [0]
+    above = np.zeros((CLASSES, 2))
+    np.add.at(above, classes, counts[0][:, CLASSES:])
+    out[CLASSES:, :CLASSES] = above.T
     return out
 
 
+def _per_chunk(counted: DataFrame, bounds: np.ndarray, function: Callable[[np.ndarray, int], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The first word of each chunk and what the function makes of its counts (2, words, WIDTH), in a task for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            at = int(bounds[row["chunk"]])
+            yield _batch("start long, made binary", [[at], [function(_read(row["counts"], "<i8").reshape(2, -1, WIDTH), at).astype("<f8").tobytes()]])
+
+    for row in counted.repartition(len(bounds) - 1, "chunk").mapInArrow(run, "start long, made binary").collect():  # a row for each chunk
+        yield row["start"], np.frombuffer(row["made"], "<f8")
+
+
+def _grid(counted: DataFrame, frequent: Frequent) -> np.ndarray:
+    classes = frequent.classes
+    part = lambda counts, at: class_bigrams(counts, classes[at : at + counts.shape[1]])
+    return sum((made.reshape(WIDTH, WIDTH) for _, made in _per_chunk(counted, frequent.bounds(), part)), np.zeros((WIDTH, WIDTH)))
+
+
 def _log(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """One round: buckets, most frequent first, go to the class that most raises the likelihood
-    of the class bigrams; the classes of a bucket's neighbours are those of the counting pass."""
-    classes = classes.copy()
-    grid = class_bigrams(counts, classes)
-    weight = counts[0].sum(1) + counts[1].sum(1)
-    for b in np.argsort(-weight, kind="stable")[: np.count_nonzero(weight)].tolist():
-        came, went = counts[0, b].astype(float), counts[1, b].astype(float)
-        old = classes[b]
-        grid[old] -= went
-        grid[:, old] -= came
-        rows, columns = grid[:CLASSES], grid[:, :CLASSES].T
-        gain = (_log(rows + went) - _log(rows)).sum(1) + (_log(columns + came) - _log(columns)).sum(1)
-        row, column = rows.sum(1), columns.sum(1)
-        gain -= _log(row + went.sum()) - _log(row) + _log(column + came.sum()) - _log(column)
-        new = int(gain.argmax())
-        new = new if gain[new] > gain[old] + 1e-9 else old
-        grid[new] += went
-        grid[:, new] += came
-        classes[b] = new
+def exchange(counts: np.ndarray, classes: np.ndarray, grid: np.ndarray, batch: int = 1) -> np.ndarray:
+    """One round: words, most frequent first and one or a batch at a time, go to the class that most raises the
+    likelihood of the class bigrams. ``counts`` (2, words, WIDTH), how often a word comes after and before
+    each neighbour; ``grid`` the class bigrams, in which these words' own counts are."""
+    classes, grid = classes.copy(), grid.copy()
+    order = np.argsort(-counts.sum((0, 2)), kind="stable")
+    for at in range(0, len(order), batch):
+        some = order[at : at + batch]
+        came, went, old = counts[0, some].astype(float), counts[1, some].astype(float), classes[some]
+        each = np.arange(len(some))
+        rows = np.repeat(grid[None, :CLASSES], len(some), 0)
+        columns = np.repeat(grid[:, :CLASSES].T[None], len(some), 0)
+        # The word's own counts go out of its class first.
+        rows[each, old] -= went
+        rows[each, :, old] -= came[:, :CLASSES]
+        columns[each, old] -= came
+        columns[each, :, old] -= went[:, :CLASSES]
+        gain = (_log(rows + went[:, None]) - _log(rows)).sum(2) + (_log(columns + came[:, None]) - _log(columns)).sum(2)
+        row, column = rows.sum(2), columns.sum(2)
+        gain -= _log(row + went.sum(1)[:, None]) - _log(row) + _log(column + came.sum(1)[:, None]) - _log(column)
+        new = gain.argmax(1)
+        new = np.where(gain[each, new] > gain[each, old] + 1e-9, new, old)
+        np.subtract.at(grid, old, went)
+        np.add.at(grid, new, went)
+        np.subtract.at(grid.T, old, came)
+        np.add.at(grid.T, new, came)
+        classes[some] = new
     return classes
 
 
-def cluster(blocks: DataFrame, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each bucket, and the class bigrams. At the start the buckets of the most tokens
-    have a class each and all others share the last."""
-    classes = np.empty(BUCKETS, np.int64)
-    classes[np.argsort(-tokens, kind="stable")] = np.minimum(np.arange(BUCKETS), CLASSES - 1)
-    for _ in range(PASSES):
-        classes = exchange(_count_pass(blocks, classes), classes)
-    return classes, class_bigrams(_count_pass(blocks, classes), classes)
+def cluster(blocks: DataFrame, frequent: Frequent) -> np.ndarray:
+    """Give the frequent words their classes; returns the class bigrams."""
+    if not len(frequent.words):
+        return np.zeros((WIDTH, WIDTH))
+    counted = _count_pass(blocks, frequent)
+    for number in range(HEAD_PASSES + PASSES):
+        grid, now = _grid(counted, frequent), frequent.classes
+        head = number < HEAD_PASSES
+
+        def move(counts: np.ndarray, at: int, now: np.ndarray = now, grid: np.ndarray = grid, head: bool = head) -> np.ndarray:
+            own = now[at : at + counts.shape[1]]
+            return own if head and at else exchange(counts, own, grid, BATCH if at else 1)
+
+        moved = now.copy()
+        for start, made in _per_chunk(counted, frequent.bounds(), move):
+            moved[start : start + len(made)] = made
+        frequent.classes = moved
+        counted = _count_pass(blocks, frequent)
+    return _grid(counted, frequent)
+
+
+def assign(came: np.ndarray, went: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class of each rare word (words, WIDTH): the one that makes its neighbours likeliest, by smoothed class bigrams."""
+    after = np.log((grid[:CLASSES] + TRANSITION) / (grid[:CLASSES] + TRANSITION).sum(1, keepdims=True))
+    before = np.log((grid[:, :CLASSES] + TRANSITION) / (grid[:, :CLASSES] + TRANSITION).sum(1, keepdims=True))
+    mass = np.log(grid[:, :CLASSES].sum(0) + 1)
+    return (went @ after.T + came @ before - came.sum(1)[:, None] * mass).argmax(1)
+
+
+_RARE = "block long, part long, classes binary, moves binary, tokens binary, types binary"
+
+
+def _rare_classes(blocks: DataFrame, ranges: int, frequent: Frequent, grid: np.ndarray) -> DataFrame:
+    """(block, part, classes): the classes of the block's rare words of one range, in their order; and for each range the sums of its rare words by class: moves (WIDTH, CLASSES), tokens, types."""
+    n = len(frequent.words)
+
+    def entries(row: dict) -> tuple[np.ndarray, Callable]:
+        codes = _read(row["codes"], "<u4").astype(np.int64)
+        words = np.frombuffer(row["words"], np.int64)
+        places = frequent.places(words)
+        before, after, ends = _neighbours(row, frequent.neighbours(places), codes)
+        train = np.repeat(~np.array(row["held"], bool), row["lengths"]) & ~ends
+        rare = (places == n) & (words != END)
+        train &= rare[codes]
+        number = np.cumsum(rare) - 1
+        found = [_cells(number[codes[train]], other[train], int(rare.sum())) for other in (before, after)]
+
+        def data(a: int, b: int) -> bytes:
+            out = []
+            for cells, counts in found:
+                i, j = np.searchsorted(cells, (a * WIDTH, b * WIDTH))
+                out += [(cells[i:j] - a * WIDTH).astype("<u4"), counts[i:j].astype("<u4")]
+            sizes = np.array([len(out[0]), len(out[2])], "<u4")
+            return _press(np.concatenate([sizes, *out]))
+
+        return words[rare], data
+
+    def add(part: int, held: list) -> Iterator[pa.RecordBatch]:
+        words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
+        ends = np.cumsum([len(w) for _, w, _ in held])
+        keys: list[list] = [[], []]
+        counts: list[list] = [[], []]
+        for (_, w, data), e in zip(held, ends):
+            raw = _read(data, "<u4")
+            own, at = place[e - len(w) : e], 2
+            for side in (0, 1):
+                cells, many = raw[at : at + raw[side]].astype(np.int64), raw[at + raw[side] : at + 2 * raw[side]]
+                keys[side].append(own[cells // WIDTH] * WIDTH + cells % WIDTH)
+                counts[side].append(many)
+                at += 2 * int(raw[side])
+        keys, counts = [np.concatenate(k) for k in keys], [np.concatenate(c) for c in counts]
+        orders = [np.argsort(k, kind="stable") for k in keys]
+        keys, counts = [k[o] for k, o in zip(keys, orders)], [c[o] for c, o in zip(counts, orders)]
+        classes = np.empty(len(words), np.int64)
+        moves, tokens, types = np.zeros((WIDTH, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES)
+        for a in range(0, len(words), 16_384):
+            b = min(a + 16_384, len(words))
+            both = []
+            for side in (0, 1):
+                i, j = np.searchsorted(keys[side], (a * WIDTH, b * WIDTH))
+                both.append(np.bincount(keys[side][i:j] - a * WIDTH, counts[side][i:j], (b - a) * WIDTH).reshape(b - a, WIDTH))
+            own = classes[a:b] = assign(*both, grid)
+            np.add.at(moves.T, own, both[0])
+            np.add.at(tokens, own, both[0].sum(1))
+            types += np.bincount(own[both[0].any(1)], minlength=CLASSES)  # without words of held-out texts alone
+        yield _batch(_RARE, [[block for block, *_ in held], [part] * len(held), [_press(classes[place[e - len(w) : e]].astype("u1")) for (_, w, _), e in zip(held, ends)],
+                             None, None, None])
+        yield _batch(_RARE, [None, [part], None, [moves.tobytes()], [tokens.tobytes()], [types.tobytes()]])
+
+    return _dealt(blocks.select("block", "held", "lengths", "codes", "words", "train"), ranges, entries, add, _RARE)
+
+
+@dataclass
+class Model:
+    """What scoring needs besides the counts and classes that come back to the blocks."""
+
+    frequent: Frequent
+    tokens: int  # of the training texts
+    vocabulary: int
+    moves: np.ndarray  # probabilities from the neighbour before (WIDTH) to the class or, last, the end
+    below: np.ndarray  # of each class its smoothed tokens
+    unseen: int  # class of words that the training texts do not have
+
+
+@dataclass
+class Fitted:
+    """A model, the coded blocks, and (block, part, totals) and (block, part, classes) of their words."""
+
+    model: Model
+    blocks: DataFrame
+    totals: DataFrame
+    rare: DataFrame
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> Fitted:
+    """Learn from the documents whose crc32 of the id is not ``held_fold``; code all."""
+    texts = texts_of(df, id_col, text_col)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
+    blocks = materialise(_encode(texts.select("doc_id", held.alias("held"), "text")), "coded")
+    entries, tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_train")).first())
+    different = (_SAMPLED + 1) * blocks.select(F.explode("sample").alias("word")).distinct().count()
+    ranges = max(1, -(-different // RANGE_WORDS), -(-entries // RANGE_ENTRIES))
+
+    counted = materialise(_corpus_counts(blocks, ranges, max(1, int(np.ceil(FREQUENT * tokens)))), "counts")
+    vocabulary, words, counts = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in counted.where("words is not null").select("words", "counts", "types").toLocalIterator():  # at most 1 / FREQUENT words
+        vocabulary += row["types"]
+        words.append(np.frombuffer(row["words"], np.int64))
+        counts.append(np.frombuffer(row["counts"], np.int64))
+    frequent = Frequent.of(np.concatenate(words), np.concatenate(counts))
+    grid = cluster(blocks, frequent)
+    rare = materialise(_rare_classes(blocks, ranges, frequent, grid), "rare")
+
+    moves = np.zeros((WIDTH, CLASSES + 1))
+    moves[:, :CLASSES] = grid[:, :CLASSES]
+    in_class = np.bincount(frequent.classes, frequent.counts, CLASSES)
+    types = np.bincount(frequent.classes, minlength=CLASSES).astype(float)
+    for row in rare.where("moves is not null").select("moves", "tokens", "types").toLocalIterator():  # a row for each range
+        moves[:, :CLASSES] += np.frombuffer(row["moves"], "<f8").reshape(WIDTH, CLASSES)
+        in_class += np.frombuffer(row["tokens"], "<f8")
+        types += np.frombuffer(row["types"], "<f8")
+    moves[:, CLASSES] = _ends(blocks, frequent)
+    unseen = int(types.argmax())
+    below = in_class + EMISSION * (types + (np.arange(CLASSES) == unseen))
+    smooth = moves + TRANSITION
+    return Fitted(Model(frequent, tokens, vocabulary, smooth / smooth.sum(1, keepdims=True), below, unseen), blocks,
+                  counted.where("block is not null").select("block", "part", "totals"), rare.where("block is not null").select("block", "part", "classes"))
+
+
+def _ends(blocks: DataFrame, frequent: Frequent) -> np.ndarray:
+    """How often a training text ends after each neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WIDTH, np.int64)
+        for row in _rows(batches):
+            codes = _read(row["codes"], "<u4").astype(np.int64)
+            before, _, ends = _neighbours(row, frequent.neighbours(frequent.places(np.frombuffer(row["words"], np.int64))), codes)
+            total += np.bincount(before[ends & np.repeat(~np.array(row["held"], bool), row["lengths"])], minlength=WIDTH)
+        yield _batch("neighbour long, n long", [list(range(WIDTH)), total.tolist()])
+        give_back()
+
+    out = np.zeros(WIDTH)
+    counted = blocks.select("held", "lengths", "codes", "words").mapInArrow(run, "neighbour long, n long")
+    for row in counted.groupBy("neighbour").agg(F.sum("n").alias("n")).collect():
+        out[row["neighbour"]] = row["n"]
+    return out
 
 
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
+def _classed(fitted: Fitted) -> DataFrame:
+    """The blocks with their words' corpus counts and rare classes, range after range."""
+    gather = lambda df, name: df.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", name))).alias(name))
+    parts = gather(fitted.totals, "totals").join(gather(fitted.rare, "classes"), "block", "left")
+    return fitted.blocks.select("block", "docs", "held", "lengths", "codes", "words").join(parts, "block")
+
+
+def _word_classes(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a block its training count, its class, and what it is as a neighbour."""
+    count = np.concatenate([_read(part["totals"], "<i8") for part in row["totals"]])
+    words = np.frombuffer(row["words"], np.int64)
+    places = model.frequent.places(words)
+    kind = np.append(model.frequent.classes, model.unseen)[places]
+    rare = (places == len(model.frequent.words)) & (words != END)
+    kind[rare] = np.concatenate([np.zeros(0, np.uint8), *(_read(part["classes"], "u1") for part in row["classes"] or [])])
+    kind[count == 0] = model.unseen
+    return count, kind, model.frequent.neighbours(places)
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """A row for every document, learned from those whose crc32 of the id is not ``held_fold``."""
-    texts = texts_of(df, id_col, text_col)
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
-    blocks = materialise(_encode(texts.select("doc_id", held.alias("held"), "text")), "coded")
-    counted = materialise(_corpus_counts(blocks), "counts")
-    # One row for each bucket, and one for the end token: their tokens and words.
-    sums = counted.where("bucket is not null").groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).toPandas()
-    train_tokens, vocabulary = int(sums["tokens"].sum()), int(sums["types"].sum())
-    sums = sums[sums["bucket"] >= 0]
-
-    where = sums["bucket"].to_numpy(np.int64)
-    classes, bigrams = cluster(blocks, np.bincount(where, sums["tokens"].to_numpy(float), BUCKETS))
-    per_class = [np.bincount(classes[where], sums[c].to_numpy(float), CLASSES) for c in ("tokens", "types")]
-    moves = (bigrams + TRANSITION) / (bigrams + TRANSITION).sum(1, keepdims=True)
-    below = np.append(per_class[0] + EMISSION * (per_class[1] + 1), 1.0)
+    fitted = fit(df, id_col, text_col, folds, held_fold)
+    model = fitted.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield scored(batch.slice(i, 1).to_pylist()[0])
+        for row in _rows(batches):
+            yield scored(row)
         give_back()
 
     def scored(row: dict) -> pa.RecordBatch:
-        codes, bucket, kind, before = _tokens(row, classes)
-        count = np.concatenate([_read(part["totals"], "<i8") for part in row["counts"]])
+        codes = _read(row["codes"], "<u4").astype(np.int64)
+        count, kind, neighbour = _word_classes(row, model)
+        before, _, ends = _neighbours(row, neighbour, codes)
         lengths = np.array(row["lengths"], np.int64)
         starts = np.cumsum(lengths) - lengths
-        plain = (count + 1) / (train_tokens + vocabulary + 1)
-        inside = (count + EMISSION) / below[classes[bucket]]
-        inside[codes[lengths[0] - 1]] = 1.0  # the end token
+        plain = (count + 1) / (model.tokens + model.vocabulary + 1)
+        inside = np.where(ends, 1.0, ((count + EMISSION) / model.below[kind])[codes])
+        target = np.where(ends, CLASSES, kind[codes])
         base = np.add.reduceat(np.log10(plain)[codes], starts)
-        mixed = MIXTURE * moves[before, kind] * inside[codes] + (1 - MIXTURE) * plain[codes]
+        mixed = MIXTURE * model.moves[before, target] * inside + (1 - MIXTURE) * plain[codes]
         full = np.add.reduceat(np.log10(mixed), starts)
         known = np.add.reduceat((count > 0).astype(np.int64)[codes], starts)
         return pa.RecordBatch.from_arrays(
             [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(known),
-             pa.array(np.full(len(lengths), train_tokens)), pa.array(base), pa.array(full), pa.array(10 ** np.minimum(-full / lengths, 300.0))],
+             pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(full), pa.array(10 ** np.minimum(-full / lengths, 300.0))],
             names=[c.split()[0] for c in SCORES.split(", ")])
 
-    parts = counted.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "totals"))).alias("counts"))
-    joined = blocks.select("block", "docs", "held", "lengths", "codes", "buckets").join(parts, "block").drop("block")
-    return joined.mapInArrow(run, SCORES)
+    return _classed(fitted).drop("block").mapInArrow(run, SCORES)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

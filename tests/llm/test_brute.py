@@ -135,6 +135,77 @@ def test_language_model(spark):
         assert r["score"] < 0
 
 
+@pytest.mark.parametrize("frequent", [2.0**-20, 0.008])
+def test_class_model(spark, monkeypatch, frequent):
+    """The scores that plain counting gives for the words' classes, with and without rare words."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "RANGE_ENTRIES", 50)  # many ranges of words
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)  # and many blocks
+    texts = [prose(k, 30 + k) for k in range(60)] + ["", None, "words seen nowhere else"]
+    df = frame(spark, texts)
+    fitted = lm.fit(df)
+    kind, neighbour = {}, {}
+    for row in lm._classed(fitted).collect():
+        words = np.frombuffer(row["words"], np.int64).tolist()
+        count, classes, near = lm._word_classes(row.asDict(recursive=True), fitted.model)
+        for w, c, k, other in zip(words, count.tolist(), classes.tolist(), near.tolist()):
+            assert kind.setdefault(w, (c, k)) == (c, k) and neighbour.setdefault(w, other) == other
+    from quern.llm.shingles import hash_words
+
+    tokens = {i: hash_words([(t or "").encode()])[0].view(np.int64).tolist() for i, t in enumerate(texts)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for i in train for w in tokens[i])
+    assert all(kind[w][0] == count[w] for t in tokens.values() for w in t)
+    assert any(n == lm.RARE for w, n in neighbour.items() if count[w]) == (frequent > 0.001)
+    total, vocabulary = sum(count.values()) + len(train), len(count) + 1
+    unseen = fitted.model.unseen
+    of = lambda w: kind[w][1] if count[w] else unseen
+    moves = np.zeros((lm.WIDTH, lm.CLASSES + 1))
+    in_class, types = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for i in train:
+        before = lm.EDGE
+        for w in tokens[i]:
+            moves[before, of(w)] += 1
+            in_class[of(w)] += 1
+            before = neighbour[w]
+        moves[before, lm.CLASSES] += 1
+    for w in count:
+        types[of(w)] += 1
+    assert types[unseen] == types.max()
+    types[unseen] += 1
+    for r in lm.score(df).collect():
+        expected, before = 0.0, lm.EDGE
+        for w in [*tokens[r["doc_id"]], None]:
+            target = lm.CLASSES if w is None else of(w)
+            move = (moves[before, target] + lm.TRANSITION) / (moves[before] + lm.TRANSITION).sum()
+            inside = 1.0 if w is None else (count[w] + lm.EMISSION) / (in_class[target] + lm.EMISSION * types[target])
+            plain = ((len(train) if w is None else count[w]) + 1) / (total + vocabulary + 1)
+            expected += math.log10(lm.MIXTURE * move * inside + (1 - lm.MIXTURE) * plain)
+            before = lm.EDGE if w is None else neighbour[w]
+        assert r["score"] == pytest.approx(expected)
+
+
+def test_exchange_raises_likelihood():
+    """Each round of exchange, one word at a time, raises the likelihood of the class bigrams of a random text."""
+    pick = np.random.default_rng(5)
+    words = np.concatenate([pick.integers(0, 40, 3000) + 40 * (k % 2) for k in range(2)] * 2)
+    classes = np.minimum(np.arange(80), lm.CLASSES - 1)
+
+    def likelihood(classes):
+        pairs = Counter(zip(classes[words[:-1]].tolist(), classes[words[1:]].tolist()))
+        first, second = Counter(classes[words[:-1]].tolist()), Counter(classes[words[1:]].tolist())
+        return sum(n * math.log(n) for n in pairs.values()) - sum(n * math.log(n) for c in (first, second) for n in c.values())
+
+    for _ in range(3):
+        counts = np.zeros((2, 80, lm.WIDTH), np.int64)
+        np.add.at(counts[0], (words[1:], classes[words[:-1]]), 1)
+        np.add.at(counts[1], (words[:-1], classes[words[1:]]), 1)
+        new = lm.exchange(counts, classes, lm.class_bigrams(counts, classes), batch=1)
+        assert likelihood(new) >= likelihood(classes)
+        classes = new
+    assert not set(classes[:40]) & set(classes[40:])  # words that never meet have no class in common
+
+
 def test_classes_help(spark):
     """Two vocabularies that do not mix: the class model tells them apart, the unigram cannot."""
     pick = random.Random(2)
