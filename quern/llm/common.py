@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.log import shared_folder
+
 # The characters 9-13 and 32, which the word contracts call white space.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
@@ -24,17 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (single-machine
-    tests) is a folder of our own made, and kept as the context's checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``; without it an error is raised. Only where all runs on
+    one machine is a folder of our own made, and kept as the context's checkpoint folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-        shared = spark.sparkContext.getCheckpointDir()
-    return shared.rstrip("/")
+    return (shared or shared_folder(spark)).rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, repartition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting the lineage.
 
     Later jobs, and tasks that are run again after an executor is lost, read the files instead
@@ -80,6 +78,7 @@ BATCH_BYTES = 8 << 20
 
 
 def _bound_batches(df: DataFrame) -> None:
+    """Lower the session's bound on batches. It stays so: plans read it when they are run, which is later."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
     now = conf.get(key, "64m")
