@@ -9,7 +9,8 @@ Method
     a page must have main text - an article or main element holds some, or no block stands in
     anything that tells its role - the best path is taken among those that have a main block.
     The labelled pages are made here by a seeded generator, of many layouts; their text is random
-    words, so nothing about a page's topic or language is learned.
+    words, so nothing about a page's topic or language is learned. The trained weights are kept in
+    ``chain.json`` beside this module, which ``python -m quern.llm.html`` makes anew.
 
 Defined results: null html is an empty page; a page without main text gives an empty text and 0;
 a null id or url is carried along; repeated rows give repeated results; an empty table gives no
@@ -20,12 +21,14 @@ pages cut off anywhere are read as far as they go.
 from __future__ import annotations
 
 import html
+import json
 import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -454,12 +457,23 @@ def labelled(page: str) -> tuple[list[Block], list[bool]]:
     return [b for b, _ in kept], [main for _, main in kept]
 
 
-@lru_cache(maxsize=4)
-def trained_chain(pages: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
+_KEPT = Path(__file__).with_name("chain.json")
+
+
+def fresh_chain(pages: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
     maker = PageMaker(seed)
     return train([labelled(maker.page()) for _ in range(pages)])
 
 
+@lru_cache(maxsize=4)
+def trained_chain(pages: int = TRAINING_PAGES, seed: int = SEED) -> Chain:
+    """The kept weights, or newly trained ones for other pages than those that they come from."""
+    kept = json.loads(_KEPT.read_text()) if _KEPT.exists() else {}
+    if (kept.get("pages"), kept.get("seed")) == (pages, seed):
+        return Chain(kept["weights"], tuple(map(tuple, kept["moves"])))
+    return fresh_chain(pages, seed)
+
+
 def main_text(page: str, chain: Chain) -> str:
     blocks = blocks_of(page)
     return "\n".join(b.text for b, keep in zip(blocks, chain.decode(blocks)) if keep)
@@ -484,3 +498,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_html_extraction": op1_html_extraction}
 ORACLE_SQL: dict[str, str] = {}
+
+if __name__ == "__main__":
+    chain = fresh_chain()
+    _KEPT.write_text(json.dumps({"pages": TRAINING_PAGES, "seed": SEED, "moves": chain.moves, "weights": chain.weights}, indent=0) + "\n")

@@ -164,6 +164,12 @@ def test_texts_of_made_pages():
     assert right / total > 0.8
 
 
+def test_kept_weights():
+    """The weights that are kept are those that training gives."""
+    kept, fresh = html.trained_chain(), html.fresh_chain()
+    assert kept.weights == pytest.approx(fresh.weights, abs=1e-3) and np.allclose(kept.moves, fresh.moves, atol=1e-3)
+
+
 NAV, FOOT = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>", "<footer>&copy; someone</footer>"
 
 
