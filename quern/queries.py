@@ -15,7 +15,7 @@ from quern.operators.store import Store
 from quern.plans.schema import Schema
 from quern.sources.log import FACTS, VALUES, Facts, shared_folder
 from quern.sources.tables import Table, Tables
-from quern.terms import ANY, TempId, Var
+from quern.terms import ANY, DocumentError, TempId, Var
 
 
 def _ref(ns: str) -> list:
@@ -412,6 +412,108 @@ _store("store_properties", lambda ds: None, "SELECT * FROM (VALUES ('nation/key'
        "t(ident, type, cardinality)", lambda ds: ds.schema_properties())
 
 
+def _waiting(ds: Store) -> None:
+    waiting = [ds.update({"customer/key": k}, {"customer/credits": k}, transact="async") for k in (1, 2, 3)]
+    for w in waiting:
+        w.result()
+
+
+_store("store_async", _waiting, _stored(credits="CAST(CASE WHEN c_custkey <= 3 THEN c_custkey ELSE 0 END AS BIGINT)"), lambda ds: _state(ds, at=1005))
+_store("store_retract_path", lambda ds: ds.retract({"customer/key": 1}, "customer/nation/name"),
+       "SELECT CAST(n_nationkey AS BIGINT) AS key, CASE WHEN n_nationkey <> (SELECT c_nationkey FROM customer WHERE c_custkey = 1) THEN n_name END AS name FROM nation",
+       lambda ds: ds.select("nation").select("nation.key", "nation.name"))
+_store("store_deleted_documents", lambda ds: None, _stored(where="c_acctbal < 0"),
+       lambda ds: ds.delete({"customer/acctbal": ("<", 0.0)}).select(pull={"customer": dict.fromkeys(_STATE, "checked") | {"marks": "unchecked"}}).select(*(f"customer.{c}" for c in _STATE)))
+_store("store_query", lambda ds: None, "SELECT DISTINCT c_custkey AS key FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' AND c_acctbal > 0",
+       lambda ds: ds.query(["find", "?c", "where", ["?c", "customer/nation", "?n"], ["?n", "nation/name", "NATION_3"], ["?c", "customer/acctbal", "?b"], [[">", "?b", 0.0]]],
+                           pull={"customer": {"key": "checked"}}, blank=True).select("customer.key"))
+
+_CHAIN = {"node": {"key": [{"type": "long", "unique": "identity"}], "next": [{"type": "ref", "ref": {"ns": "node", "rval": "previous"}}],
+                   "near": [{"type": "ref", "cardinality": "many", "ref": {"ns": "node", "mutual": True}}],
+                   "parts": [{"type": "ref", "cardinality": "many", "isComponent": True, "ref": {"ns": "part"}}]}, "part": {"of": [{"type": "long", "required": True}]}}
+
+
+def chained(spark: SparkSession, sf_dir: str) -> Store:
+    """A node for each nation, each followed by that of the next key, near the one after that, with a part of its own."""
+    ds = Store.open(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", _CHAIN)
+    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("key"))
+    ds.insert_frame("node", keys)
+    ds.insert_frame("part", keys.select(F.col("key").alias("of")))
+    known = lambda ident, shift, name: ds.source.pairs(ds.schema.flat[ident]).select((F.col("v") - shift).alias("key"), F.col("e").alias(name))
+    ds.insert_frame("node", keys.join(known("node/key", 1, "next"), "key", "left").join(known("node/key", 2, "near"), "key", "left").join(known("part/of", 0, "parts"), "key").select(
+        "key", "next", F.when(F.col("near").isNotNull(), F.array("near")).alias("near"), F.array("parts").alias("parts")))
+    return ds
+
+
+def _chain(name: str, show: Callable[[Store], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: show(chained(spark, sf_dir))
+    SQL[name] = sql
+
+
+def _keys_of(ds: Store, ids: DataFrame) -> DataFrame:
+    return ds.source.pairs(ds.schema.flat["node/key"]).join(ids.select(F.col("eid").alias("e")), "e", "left_semi").select(F.col("v").alias("key"))
+
+
+def _cascaded(ds: Store) -> DataFrame:
+    ds.delete({"node/key": (">", 9)})
+    return ds.select("part").select("part.of")
+
+
+_NODE_KEY = "CAST(n_nationkey AS BIGINT) AS key FROM nation"
+_chain("store_closure", lambda ds: _keys_of(ds, ds.linked({"node/key": 20}, {"node": {"next": "yield", "near": "unchecked", "parts": "unchecked"}})), f"SELECT {_NODE_KEY} WHERE n_nationkey >= 20")
+_chain("store_self_join", lambda ds: _keys_of(ds, ds.select({"node": {"next/next/next": {"key": (">", 20)}}}, returns="ids")), f"SELECT {_NODE_KEY} WHERE n_nationkey + 3 > 20 AND n_nationkey + 3 < (SELECT count(*) FROM nation)")
+_chain("store_reverse", lambda ds: _keys_of(ds, ds.select({"node": {"previous": {"key": ("<", 5)}}}, returns="ids")), f"SELECT {_NODE_KEY} WHERE n_nationkey BETWEEN 1 AND 5")
+_chain("store_mutual", lambda ds: _keys_of(ds, ds.select({"node": {"near": {"key": 10}}}, returns="ids")), f"SELECT {_NODE_KEY} WHERE n_nationkey IN (8, 12)")
+_chain("store_yield", lambda ds: ds.select({"node/key": 20}, pull={"node": {"next": "yield"}}, yield_depth=3).select(
+    F.col("node.key").alias("a"), F.col("node.next.key").alias("b"), F.col("node.next.next.key").alias("c"), F.col("node.next.next.next.key").alias("d")),
+    "SELECT CAST(20 AS BIGINT) AS a, CAST(21 AS BIGINT) AS b, CAST(22 AS BIGINT) AS c, CAST(23 AS BIGINT) AS d")
+_chain("store_components", _cascaded, "SELECT CAST(n_nationkey AS BIGINT) AS of FROM nation WHERE n_nationkey <= 9")
+
+
+# What documents must not be: the tag of the error of each
+_MISTAKES: dict[str, tuple[str, Callable[[TableView, Store], object]]] = {
+    "unknown attribute": ("no-schema", lambda v, ds: v.select({"customer": {"colour": "red"}})),
+    "outside an enumeration": ("wrong-input", lambda v, ds: v.select({"customer/mktsegment": "none"})),
+    "no constraint": ("empty-query", lambda v, ds: v.select({"customer": {}})),
+    "an id where none may be": ("id-banned", lambda v, ds: v.select({"nation": {"region": 2}}, ban_ids=True)),
+    "an id in the body": ("body-id-banned", lambda v, ds: v.select({"nation": {"region": 2}}, ban_body_ids=True)),
+    "an id at the top": ("top-id-banned", lambda v, ds: v.select({"nation": {"name": ANY}, "db/id": 2}, ban_top_id=True)),
+    "a name as a query": ("keyword-banned", lambda v, ds: v.select("nation", ban_underscores=True)),
+    "an expression where none may be": ("not-allowed", lambda v, ds: v.select({"customer/acctbal": (">", 0.0)}, ban_expressions=True)),
+    "an expression of another kind": ("failed-check", lambda v, ds: v.select({"customer/acctbal": (">", 0.0)}, pipeline={"expression": {"customer": {"acctbal": "<"}}})),
+    "outside the access model": ("not-allowed", lambda v, ds: v.select({"customer/acctbal": 0.0}, access={"customer": {"acctbal": "unchecked"}})),
+    "a value that is not valid": ("not-validated", lambda v, ds: v.select({"customer/name": "x"}, pipeline={"validate": {"customer": {"name": str.isupper}}})),
+    "a key that is asked for": ("no-required", lambda v, ds: v.select({"customer/name": "x"}, pipeline={"pre_require": {"customer": {"acctbal": "checked"}}})),
+    "a value of another type": ("wrong-type", lambda v, ds: v.select({"part/size": "40"}, use_typecheck=True)),
+    "a required attribute": ("required", lambda v, ds: ds.insert({"customer": {"name": "Customer x"}})),
+    "a restricted value": ("failed-restriction", lambda v, ds: ds.insert({"customer": {"key": -1, "name": "x"}})),
+    "two values of a single attribute": ("wrong-input", lambda v, ds: ds.insert({"customer": {"key": -1, "name": ["Customer a", "Customer b"]}})),
+    "any value in a write": ("query-only", lambda v, ds: ds.insert({"customer": "_"})),
+    "an identity of two": ("unique", lambda v, ds: ds.update("nation", {"nation/key": 1})),
+    "no access model": ("missing-allow-model", lambda v, ds: ds.delete_all("customer")),
+    "a path that is not there": ("walk-path-key-not-in-schema", lambda v, ds: ds.retract("customer", "customer/colour")),
+    "a path beyond a value": ("walk-path-cannot-walk-past-non-ref", lambda v, ds: ds.retract("customer", "customer/name/more")),
+    "a way that is no reference": ("cannot-perform-reverse-lookup", lambda v, ds: ds.update_in("customer", ["name", "_"], {"name": "x"})),
+    "a snapshot that is not the latest": ("conflict", lambda v, ds: ds.snapshot(1001).delete("nation")),
+}
+
+
+def document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, ds = view(spark, sf_dir), loaded(spark, sf_dir)
+    found = []
+    for mistake, (_, attempt) in _MISTAKES.items():
+        try:
+            attempt(v, ds)
+            found.append((mistake, "none"))
+        except DocumentError as error:
+            found.append((mistake, ",".join(sorted(error.tags))))
+    return spark.createDataFrame(found, "mistake string, tag string")
+
+
+QUERIES["document_errors"] = document_errors
+SQL["document_errors"] = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{tag}')" for m, (tag, _) in _MISTAKES.items()) + ") t(mistake, tag)"
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of Asia by a two-hop document query."""
     return QUERIES["sel_fwd2"](spark, sf_dir)
