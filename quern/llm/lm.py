@@ -55,6 +55,8 @@ RANGE_WORDS, RANGE_ENTRIES = 250_000, 2_000_000
 #: Words that one task moves one by one; ranges of the others, each counted and moved by a task; of these words so
 #: many are moved at once.
 HEAD, CHUNKS, BATCH = 4096, 64, 64
+#: Blocks whose counts are summed together at first.
+GROUP = 64
 #: Neighbours: the classes, any rare word, the start or end of the text.
 RARE, EDGE = CLASSES, CLASSES + 1
 WIDTH = CLASSES + 2
@@ -235,9 +237,10 @@ def _cells(codes: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np
     return found, every[found]
 
 
-def _count_pass(blocks: DataFrame, frequent: Frequent) -> DataFrame:
+def _count_pass(blocks: DataFrame, frequent: Frequent, groups: int) -> DataFrame:
     """(chunk, counts): of the frequent words of a chunk how often each
-    comes after and before every neighbour, as an array (2, words, WIDTH)."""
+    comes after and before every neighbour, as an array (2, words, WIDTH). What the tasks count is summed in
+    so many groups of tasks first, since all of them have the most frequent words."""
     bounds = frequent.bounds()
 
     def merged(parts: list) -> list:
@@ -245,6 +248,9 @@ def _count_pass(blocks: DataFrame, frequent: Frequent) -> DataFrame:
         return [(keys, np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() % groups
         held: list[list] = [[], []]
         for row in _rows(batches):
             codes = _read(row["codes"], "<u4").astype(np.int64)
@@ -261,23 +267,35 @@ def _count_pass(blocks: DataFrame, frequent: Frequent) -> DataFrame:
                 cuts = np.searchsorted(keys, bounds * WIDTH).tolist()
                 some = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                 if some:
-                    yield _batch("chunk long, side long, cells binary, counts binary", [
-                        [c for c, _, _ in some], [side] * len(some), [_press(np.diff(keys[a:b], prepend=bounds[c] * WIDTH).astype("<u4")) for c, a, b in some],
+                    yield _batch(cells_of, [
+                        [c for c, _, _ in some], [group] * len(some), [side] * len(some), [_press(np.diff(keys[a:b], prepend=bounds[c] * WIDTH).astype("<u4")) for c, a, b in some],
                         [_press(counts[a:b].astype("<u4")) for _, a, b in some]])
         give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for row in _rows(batches):
             c = row["chunk"]
-            own = total.setdefault(c, np.zeros((2, (bounds[c + 1] - bounds[c]) * WIDTH), np.int64))
+            own = total.setdefault((c, row["grp"]), np.zeros((2, (bounds[c + 1] - bounds[c]) * WIDTH), np.int64))
             own[row["side"]][np.cumsum(_read(row["cells"], "<u4").astype(np.int64))] += _read(row["counts"], "<u4")
+        for (chunk, _), counts in total.items():
+            yield _batch("chunk long, counts binary", [[chunk], [_press(counts)]])
+        give_back()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for row in _rows(batches):
+            total[row["chunk"]] = total.get(row["chunk"], 0) + _read(row["counts"], "<i8")
         for chunk, counts in total.items():
             yield _batch("chunk long, counts binary", [[chunk], [_press(counts)]])
         give_back()
 
-    partial = blocks.select("held", "lengths", "codes", "words").mapInArrow(count, "chunk long, side long, cells binary, counts binary")
-    return materialise(partial.repartition(len(bounds) - 1, "chunk").mapInArrow(add, "chunk long, counts binary"), "neighbours")
+    cells_of, n = "chunk long, grp long, side long, cells binary, counts binary", len(bounds) - 1
+    partial = blocks.select("held", "lengths", "codes", "words").mapInArrow(count, cells_of)
+    summed = partial.repartition(min(n * groups, 10_000), "chunk", "grp").mapInArrow(add, "chunk long, counts binary")
+    if groups > 1:
+        summed = summed.repartition(n, "chunk").mapInArrow(fold, "chunk long, counts binary")
+    return materialise(summed, "neighbours")
 
 
 def class_bigrams(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -342,11 +360,11 @@ def exchange(counts: np.ndarray, classes: np.ndarray, grid: np.ndarray, batch: i
     return classes
 
 
-def cluster(blocks: DataFrame, frequent: Frequent) -> np.ndarray:
+def cluster(blocks: DataFrame, frequent: Frequent, groups: int) -> np.ndarray:
     """Give the frequent words their classes; returns the class bigrams."""
     if not len(frequent.words):
         return np.zeros((WIDTH, WIDTH))
-    counted = _count_pass(blocks, frequent)
+    counted = _count_pass(blocks, frequent, groups)
     for number in range(HEAD_PASSES + PASSES):
         grid, now = _grid(counted, frequent), frequent.classes
         head = number < HEAD_PASSES
@@ -359,7 +377,7 @@ def cluster(blocks: DataFrame, frequent: Frequent) -> np.ndarray:
         for start, made in _per_chunk(counted, frequent.bounds(), move):
             moved[start : start + len(made)] = made
         frequent.classes = moved
-        counted = _count_pass(blocks, frequent)
+        counted = _count_pass(blocks, frequent, groups)
     return _grid(counted, frequent)
 
 
@@ -461,7 +479,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: in
     texts = texts_of(df, id_col, text_col)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     blocks = materialise(_encode(texts.select("doc_id", held.alias("held"), "text")), "coded")
-    entries, tokens = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_train")).first())
+    entries, tokens, n_blocks = (x or 0 for x in blocks.agg(F.sum("n_words"), F.sum("n_train"), F.count("*")).first())
     different = (_SAMPLED + 1) * blocks.select(F.explode("sample").alias("word")).distinct().count()
     ranges = max(1, -(-different // RANGE_WORDS), -(-entries // RANGE_ENTRIES))
 
@@ -472,7 +490,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: in
         words.append(np.frombuffer(row["words"], np.int64))
         counts.append(np.frombuffer(row["counts"], np.int64))
     frequent = Frequent.of(np.concatenate(words), np.concatenate(counts))
-    grid = cluster(blocks, frequent)
+    grid = cluster(blocks, frequent, max(1, -(-n_blocks // GROUP)))
     rare = materialise(_rare_classes(blocks, ranges, frequent, grid), "rare")
 
     moves = np.zeros((WIDTH, CLASSES + 1))

@@ -141,6 +141,9 @@ def test_class_model(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     monkeypatch.setattr(lm, "RANGE_ENTRIES", 50)  # many ranges of words
     monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)  # and many blocks
+    monkeypatch.setattr(lm, "GROUP", 3)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "CHUNKS", 3)
     texts = [prose(k, 30 + k) for k in range(60)] + ["", None, "words seen nowhere else"]
     df = frame(spark, texts)
     fitted = lm.fit(df)
