@@ -173,6 +173,17 @@ class View:
         ids, _ = self._ids(query, ctx)
         return self._reach(ids, complete(model, self.schema))
 
+    def children(self, query: Any, ident: str, **given: Any) -> DataFrame:
+        """(eid, child) for every value of a many-valued attribute or reference, either way, of the
+        query's entities: the flat form of a pull, for entities that have too many for one row."""
+        ctx, keys, _ = self._call("select", False, given)
+        view = self._at(keys)
+        ids, _ = view._ids(query, ctx)
+        a = ctx.schema.flat[ctx.schema.lookup[ident]]
+        pairs = view.source.pairs(ctx.schema.flat[a.link.key] if a.link else a)
+        near, far = ("v", "e") if a.link and a.link.reverse else ("e", "v")
+        return pairs.select(F.col(near).alias("eid"), F.col(far).alias("child")).join(ids, "eid", "left_semi")
+
     def _reach(self, ids: DataFrame, model: dict) -> DataFrame:
         found = [ids]
 

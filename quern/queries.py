@@ -188,6 +188,8 @@ _add("pull_id", lambda v: v.select("nation", pull={"nation": {"region": "id"}}).
 _add("pull_deep", lambda v: v.select({"region/name": "EUROPE"}, pull={"region": {"nations": {"suppliers": {"acctbal": "unchecked"}}}}).select(
     F.col("region.name").alias("region"), F.explode("region.nations").alias("n")).select("region", F.col("n.name").alias("nation"), F.explode("n.suppliers.name").alias("supplier")),
     "SELECT DISTINCT r_name AS region, n_name AS nation, s_name AS supplier FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'EUROPE'")
+_add("pull_flat", lambda v: v.children({"nation/name": "NATION_3"}, "nation/customers").select(F.col("eid").cast("long").alias("eid"), "child"),
+     "SELECT CAST(c_nationkey AS BIGINT) AS eid, c_custkey AS child FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
 _select("access_ok", "customer", {"customer/mktsegment": "MACHINERY"}, "SELECT DISTINCT c_name AS name, c_mktsegment AS mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'",
         access={"customer": {"acctbal": "unchecked"}})
 _select("first", "customer", {"customer/mktsegment": "BUILDING"}, f"SELECT {_CUSTOMER} FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 1", first=True)
