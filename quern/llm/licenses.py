@@ -177,11 +177,20 @@ def _places(text: Column, rank: dict[str, int]) -> Column:
 
 def _overlap() -> Column:
     """Most distinct words of the template that one block holds; ``own`` are the places of its words."""
-    own, n = F.col("own"), F.size("own")
+    # Bound as the variable of a transform, or the optimiser would put the filter that makes it in every step.
+    return F.element_at(F.transform(F.array("own"), _most_held), 1)
+
+
+def _most_held(own: Column) -> Column:
+    n = F.size(own)
     distinct = lambda places: F.size(F.array_distinct(F.transform(places, lambda p: p["rank"])))
     # A run begins at a word of the template.
     runs = F.transform(own, lambda p, i: distinct(F.filter(F.slice(own, i + 1, F.col("run")), lambda q: q["at"] < p["at"] + F.col("run"))))
-    lines = F.transform(F.array_distinct(F.transform(own, lambda p: p["line"])), lambda line: distinct(F.filter(own, lambda q: q["line"] == line)))
+    # A line's places stand together; its first one is where the line changes.
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(own, i - 2)["line"] != F.get(own, i - 1)["line"], F.lit(True)))
+    upto = lambda first, k: F.coalesce(F.try_element_at(first, k + 2), n + 1)
+    line = lambda first, i, k: distinct(F.slice(own, i, F.greatest(upto(first, k) - i, F.lit(0))))
+    lines = F.element_at(F.transform(F.array(starts), lambda first: F.transform(first, lambda i, k: line(first, i, k))), 1)
     return F.when(n > 0, F.array_max(F.concat(runs, lines))).otherwise(F.lit(0))
 
 
