@@ -113,9 +113,10 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     strong_ranks = [RANK[k.name] for k in KINDS if k.strong]
     parts = found.where(F.size("weak") > 0).select("row_id", F.inline(F.concat("strong", "weak")))
     parts = parts.withColumn("role", role).withColumn("is_strong", F.col("rank").isin(strong_ranks))
-    order = Window.partitionBy("row_id").orderBy("start", "end", "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    # Both ways are growing frames: one that shrinks would be summed up anew for every row.
+    keys, earlier = ("start", "end", "rank"), (Window.unboundedPreceding, -1)
+    before = Window.partitionBy("row_id").orderBy(*keys).rowsBetween(*earlier)
+    after = Window.partitionBy("row_id").orderBy(*map(F.desc, keys)).rowsBetween(*earlier)
 
     def meets(which: Column, margin: int) -> Column:
         """Whether a part of ``which`` comes within ``margin`` of this one."""
