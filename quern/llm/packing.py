@@ -42,6 +42,8 @@ CERTIFIED_GAP, OPEN_GAP = 64, 512
 PROGRESS = 0.75
 #: Entries of a tokeniser worker's young and of its old word cache.
 CACHE_WORDS = 400_000
+#: Longer words (bytes) go to the tokeniser library: a merge on arrays takes a pass for each merge of a word.
+LONG_WORD = 256
 
 #: What the array path leaves to the tokeniser library: anything but visible Latin characters,
 #: U+0130 (its lower case is two code points), and what may start a special token.
@@ -139,8 +141,8 @@ class WordTokeniser:
     """Token ids of whole texts through a cache of white-space-separated words.
 
     No token of this tokeniser spans ASCII white space, so a text's ids are those of its words
-    in order. Unseen words of printable Latin characters are merged together on arrays; all others
-    go to the tokeniser library.
+    in order. Unseen words of printable Latin characters are merged together on arrays; all others,
+    and words of more than ``LONG_WORD`` bytes, go to the tokeniser library.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -168,15 +170,16 @@ class WordTokeniser:
             again = [w for w in missing if w in self.old]
             self.young.update((w, self.old[w]) for w in again)
             missing.difference_update(again)
-        own = list(missing)
+        own = [w for w in missing if len(w) <= LONG_WORD]
+        other = [w for w in missing if len(w) > LONG_WORD] if len(own) < len(missing) else []
         if ODD.search(b"\n".join(own).decode()):
             texts = [w.decode() for w in own]
-            other = [w for w, t in zip(own, texts) if ODD.search(t)]
+            other += [w for w, t in zip(own, texts) if ODD.search(t)]
             own = [w for w, t in zip(own, texts) if not ODD.search(t)]
-            for i in range(0, len(other), 4096):
-                some = [w.decode() for w in other[i : i + 4096]]
-                for w, e in zip(other[i : i + 4096], self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                    self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for i in range(0, len(other), 4096):
+            some = [w.decode() for w in other[i : i + 4096]]
+            for w, e in zip(other[i : i + 4096], self.tokenizer.encode_batch(some, add_special_tokens=False)):
+                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
         if own:
             self._merge_words(own)
 
