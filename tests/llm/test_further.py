@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm import decontam, html, media, packing, quality, urls
+from quern.llm import decontam, html, licenses, media, packing, quality, secrets, urls
 from tests.llm.conftest import prose
 
 
@@ -229,3 +229,25 @@ def test_template_without_labels_follows_the_one_above(spark):
     rows = [r for r in urls.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect() if r["rule"] is None]
     assert {(r["host"], r["verdict"]) for r in rows} == {("bad.net", "block"), ("good.org", "allow"), ("deep.org", "allow")}
     assert {r["template"] for r in rows if r["host"] == "deep.org"} == {"/a/b/c/d/e/f/g/h/i/{n}/page"}
+
+
+def test_long_words_are_tokenised_as_the_library_does():
+    tokeniser = packing.WordTokeniser(packing._tokenizer_path(None))
+    texts = [f"a {'ab' * n} b {'Xy9' * n}".encode() for n in (1, 84, 85, 128, 129, 100_000)]
+    for text, ids in zip(texts, tokeniser(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokeniser.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_a_long_text_of_template_words(spark):
+    """Thousands of lines of words that notices share, one notice on a line and one over two lines among them."""
+    filler = [" ".join(("the", "of", "to", "and", "x")[(i * 7 + k) % 5] for k in range(8)) for i in range(4000)]
+    texts = ["\n".join([*filler[:2000], *notice, *filler[2000:]]) for notice in (["Released under the MIT License"], ["Licensed under the Apache", "License Version 2.0"], [])]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in found] == ["mit", "apache-2.0", ""]
+
+
+def test_a_long_text_of_credentials(spark):
+    """Every part of thousands of lines is linked with its neighbours."""
+    text = "\n".join(f"login=bob{i} pwd=abc{i:06d} https://a{i}.com/v" for i in range(4000))
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_linked"] == 12000
