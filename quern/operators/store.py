@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
@@ -24,6 +25,7 @@ from quern.plans.compile import Compiler
 from quern.plans.normalise import Entity, Normaliser, many, nested
 from quern.plans.pull import complete, plain
 from quern.plans.schema import SPARK_TYPES, Attribute, Schema
+from quern.sources import log as logs
 from quern.sources.log import COLUMN, FACTS, FIRST_TX, VALUES, Facts, Log, cut, fact_row
 from quern.terms import ANY, HOLE, DocumentError, Expr, TempId, Var, expression
 
@@ -102,6 +104,7 @@ class Store(View):
         self.spark, self.log, self._schema, self.fixed, self.extra, self.steps = spark, log, schema, tx, extra, steps
         self.defaults = defaults or {}
         self._draft: Draft | None = None
+        self._extra_sizes: dict[str, int] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: dict | Schema, reset: bool = False, **defaults: Any) -> Store:
@@ -133,8 +136,21 @@ class Store(View):
         return self._facts()
 
     def _facts(self, history: bool = False) -> Facts:
-        facts = self.log.facts(self.tx, history)
-        return Facts(self._schema, facts.unionByName(self.extra) if self.extra is not None else facts)
+        tx = self.tx
+        facts = self.log.facts(tx, history)
+        return Facts(self._schema, facts.unionByName(self.extra) if self.extra is not None else facts, self._sizes(tx, history))
+
+    def _sizes(self, tx: int, history: bool) -> Callable[[], dict[str, int]]:
+        found: dict[str, int] = {}
+
+        def sizes() -> dict[str, int]:
+            if not found:
+                if self.extra is not None and self._extra_sizes is None:
+                    self._extra_sizes = {r["a"]: r["count"] for r in self.extra.groupBy("a").count().collect()}
+                found.update(Counter(self.log.sizes(tx, history)) + Counter(self._extra_sizes or {}))
+            return found
+
+        return sizes
 
     def snapshot(self, at: int | datetime | None = None) -> Store:
         """The store as of a transaction or an instant, or as it is now."""
@@ -149,7 +165,8 @@ class Store(View):
         return store.snapshot(keys["at"]) if keys.get("at") is not None else store
 
     def _as_seen(self, schema: Schema) -> Facts:
-        return Facts(schema, self.source.facts)
+        source = self.source
+        return Facts(schema, source.facts, source.sizes)
 
     def _known(self, ids: list[int]) -> DataFrame:
         return self.source.current().where(F.col("e").isin(ids)).select(F.col("e").alias("eid")).distinct()
@@ -329,25 +346,32 @@ class Store(View):
                 wrong[f"m_{name}"] = ("required", column.isNull())
             columns[name] = column
         rows = cut(frame.select(*(c.alias(n) for n, c in columns.items()), *(c.alias(f"_{n}") for n, (_, c) in wrong.items())))
-        if wrong:
-            found = rows.agg(*(F.max(f"_{n}").alias(n) for n in wrong)).first()
+        sets = [n for n, a in own.items() if a.many]
+        identity = next((a for a in own.values() if a.unique == "identity"), None)
+        each, total = 1, 0
+        if wrong or sets or identity is not None:
+            found = rows.agg(F.count("*").alias("rows"), *(F.sum(F.size(n)).alias(f"s_{n}") for n in sets), *(F.max(f"_{n}").alias(n) for n in wrong)).first()
+            total = found["rows"]
+            each = max([1, *(-(-(found[f"s_{n}"] or 0) // max(total, 1)) for n in sets)])
             bad = [n for n in wrong if found[n]]
             if bad:
                 tag = wrong[bad[0]][0]
                 keys = [f"{ns}/{n[2:]}" for n in bad if wrong[n][0] == tag]
                 raise DocumentError(tag, f"rows that are not allowed, by {keys}", keys=keys, nsv=keys[0].split("/"))
-        rows = rows.select(*columns)
+        rows = rows.select(*columns, F.monotonically_increasing_id().alias("_id"))
         draft = self._draft or Draft()
         draft.base = self._base() if draft.base is None else draft.base
-        identity = next((a for a in own.values() if a.unique == "identity"), None)
         entities = None
         if identity is not None:  # rows whose identity is known are that entity
             known = self.source.pairs(identity).select(F.col("e"), F.col("v").alias("_v"))
-            rows = cut(rows.join(known, rows[identity.name] == known["_v"], "left").drop("_v"))
+            rows = rows.join(known, rows[identity.name] == known["_v"], "left").drop("_v")
+            if tasks := logs.parts(self.spark, total * each):
+                rows = rows.repartition(tasks, "_id")
+            rows = cut(rows)
             entities, rows = rows.where("e is not null"), rows.where("e is null").drop("e")
-        numbered, count = _numbered(rows)
+        numbered, count = _numbered(rows.drop("_id"), each)
         numbered = numbered.withColumn("e", F.lit(draft.base + draft.used) + F.col("_rank")).drop("_rank")
-        numbered = numbered if entities is None else numbered.unionByName(entities)
+        numbered = numbered if entities is None else numbered.unionByName(entities.drop("_id"))
         draft.used += count
         for name, a in own.items():
             value = F.explode(name) if a.many else F.col(name)
@@ -394,7 +418,7 @@ class Store(View):
         shared = {i: self._new_id(draft, known[i]) for i in known}
         draft.base = self._base() if draft.base is None else draft.base
         place = {i: k for k, i in enumerate(fresh)}
-        numbered, count = _numbered(ids)
+        numbered, count = _numbered(ids, len(template.rows))
         start = draft.base + draft.used
         draft.used += count * len(fresh)
         rows = [(place.get(r[0], -1), place.get(r[2 + VALUES.index("l")], -1) if COLUMN[self.schema.flat[r[1]].type] == "l" and self.schema.flat[r[1]].type == "ref" else -1,
@@ -429,11 +453,15 @@ class Store(View):
                 edges = source.pairs(a).select(F.col("e").alias("eid"), F.col("v").alias("next"))
                 ids = self._closure(ids, edges)
         gone = source.current()
-        out = gone.join(ids.select(F.col("eid").alias("e")), "e", "left_semi")
+        if count := source.parts(self.schema.stored()):  # each task then writes its share
+            gone = gone.repartition(count, "e")
+        # The ids are hashed, so that no facts are sorted to meet them.
+        named = lambda name: ids.select(F.col("eid").alias(name)).hint("shuffle_hash")
+        out = gone.join(named("e"), "e", "left_semi")
         refs = [a.ident for a in self.schema.stored() if a.type == "ref"]
-        into = gone.where(F.col("a").isin(refs)).join(ids.select(F.col("eid").alias("l")), "l", "left_semi").select(gone.columns)
+        into = gone.where(F.col("a").isin(refs)).join(named("l"), "l", "left_semi").join(named("e"), "e", "left_anti").select(gone.columns)
         draft = self._draft or Draft()
-        draft.frames.append(out.union(into).distinct().select("*", F.lit(False).alias("added")).select(FACTS.names))
+        draft.frames.append(out.union(into).select("*", F.lit(False).alias("added")).select(FACTS.names))
         return self._finish(draft, given, ids, old=True)
 
     def delete_all(self, query: Any, **given: Any) -> Any:
@@ -644,12 +672,18 @@ def _value_columns(a: Attribute, value: Column) -> list[Column]:
     return [(value if c == COLUMN[a.type] else F.lit(None)).cast(kinds[c]).alias(c) for c in VALUES]
 
 
-def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
+def _numbered(df: DataFrame, each: int = 1) -> tuple[DataFrame, int]:
     """``df`` with ``_rank`` 0, 1, ... and the number of rows, without gathering rows: one count for
-    each partition comes to the driver."""
+    each partition comes to the driver. ``each``: facts that a row becomes. Partitions of more
+    facts than a task should sort are dealt anew."""
     marked = cut(df.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
-    counts = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    counted = lambda: sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    counts = counted()
+    if max((n for _, n in counts), default=0) * each > logs.TASK_FACTS:
+        tasks = logs.parts(df.sparkSession, sum(n for _, n in counts) * each)
+        marked = cut(marked.repartition(tasks, "_id").withColumn("_id", F.monotonically_increasing_id()))
+        counts = counted()
     starts = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0)))
     if not starts:
         return marked.withColumn("_rank", F.lit(0).cast("long")).drop("_id"), 0

@@ -91,7 +91,8 @@ def event_log(spark: SparkSession, sf_dir: str) -> Facts:
                           (F.col("value") < 50).alias("added")).distinct()
     facts = last.unionByName(kinds)
     fields = {f.name: f.dataType for f in FACTS.fields}
-    return Facts(Schema(_EVENT_LOG), facts.select("e", "a", *(F.col("s") if c == "s" else F.lit(None).cast(fields[c]).alias(c) for c in VALUES), "added", "tx"))
+    sizes = lambda: dict.fromkeys(("user/last", "user/kinds"), events.count())  # noqa: E731  at most
+    return Facts(Schema(_EVENT_LOG), facts.select("e", "a", *(F.col("s") if c == "s" else F.lit(None).cast(fields[c]).alias(c) for c in VALUES), "added", "tx"), sizes)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,7 +290,7 @@ _KINDS = f"(SELECT DISTINCT user_id AS e, {_DAY} AS tx, event_type AS s, value <
 
 
 def _as_of(facts: Facts, tx: int | None) -> Facts:
-    return facts if tx is None else Facts(facts.schema, facts.facts.where(F.col("tx") <= tx))
+    return facts if tx is None else Facts(facts.schema, facts.facts.where(F.col("tx") <= tx), facts.sizes)
 
 
 _log("log_snapshot", lambda f: f.wide("user", [f.schema.flat["user/last"]]).select("eid", F.col("user/last").alias("last")),
